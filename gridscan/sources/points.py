@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 POINT_COLUMNS = ["point_id", "batch_id", "ts", "x", "y"]
-BATCH_FILE = r"batch_(\d+)\.txt$"  # fixed value: naming of batch files
+# Fixed value: naming of batch files; a batch may also be a folder of part files.
+BATCH_FILE = r"batch_(?:id=)?(\d+)(?:\.txt)?(?:/[^/]*)?$"
 
 
 def parse_points(lines: DataFrame, on_error: str = "fail") -> DataFrame:
@@ -33,30 +34,38 @@ def _strict_double(text: Column) -> Column:
 
 
 def read_points_text(spark: SparkSession, path: str, on_error: str = "fail") -> DataFrame:
-    """Read batch files ``batch_<i>.txt``; ``batch_id`` comes from the file name.
+    """Read batch files ``batch_<i>.txt``; ``batch_id`` comes from the name.
 
     ``point_id`` is unique within one read; ``ts`` is left NULL until the batch is stamped.
     """
     lines = spark.read.text(path)
-    return _from_lines(lines.select("value", F.col("_metadata.file_name").alias("file")), on_error)
+    points = _from_lines(lines.select("value", F.col("_metadata.file_path").alias("file")), on_error)
+    return with_ids(points)
+
+
+def with_ids(points: DataFrame) -> DataFrame:
+    """Fill NULL ids with numbers unique within one evaluation of a static DataFrame."""
+    number = F.coalesce(F.col("point_id"), F.monotonically_increasing_id())
+    return points.withColumn("point_id", number)
 
 
 def stream_points(spark: SparkSession, path: str, on_error: str = "fail") -> DataFrame:
     """Stream the files of a folder, one file per micro-batch, in order of arrival.
 
-    Same columns as ``read_points_text``; files without a batch number get NULL there.
+    ``point_id`` stays NULL until the micro-batch is processed; files without a number in
+    their name have a NULL ``batch_id``.
     """
     lines = (
         spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(path)
     )
-    return _from_lines(lines.select("value", F.col("_metadata.file_name").alias("file")), on_error)
+    return _from_lines(lines.select("value", F.col("_metadata.file_path").alias("file")), on_error)
 
 
 def _from_lines(lines: DataFrame, on_error: str) -> DataFrame:
     number = F.regexp_extract("file", BATCH_FILE, 1)
     return parse_points(
         lines.select(
-            F.monotonically_increasing_id().alias("point_id"),
+            F.lit(None).cast("long").alias("point_id"),
             F.when(number != "", number.cast("long")).alias("batch_id"),
             F.lit(None).cast("timestamp").alias("ts"),
             "value",
