@@ -55,32 +55,30 @@ def _internal_levels(cells: DataFrame, high: int, low: int, params: Params) -> D
     """Add ``top``, the ancestor at level ``high``, and ``deep``: how many prefixes of a cell
     at levels high+1..low hold more than N points. The root band also counts level 0.
     """
-    depth_bits = F.lit(2 * (low - high))
     inner = range(high + 1, low)
-    prefixes = {f"_p{level}": G.cell_at(F.col("code"), low, level) for level in inner}
-    many = F.lit(params.neighborhood_size)
+    many = params.neighborhood_size
     rows = (
-        cells.withColumn("top", F.call_function("shiftright", F.col("code"), depth_bits))
+        cells.selectExpr("*", f"shiftright(code, {2 * (low - high)}) AS top")
         .repartition("tree", "top")
-        .withColumns(prefixes | {"_n": F.col("n"), "_lead": F.lit(True)})
-        .withColumn("deep", (F.col("n") > many).cast("int"))
+        .selectExpr(
+            "*",
+            *[f"shiftright(code, {2 * (low - level)}) AS _p{level}" for level in inner],
+            "n AS _n",
+            "true AS _lead",
+            f"int(n > {many}) AS deep",
+        )
     )
     # Deepest level first: one sort by (tree, top, prefixes...) serves every window, and a
     # level adds up the cells of the level below, each once, at its first code.
     for level in reversed(range(high + 1 if high else 0, low)):
-        group = Window.partitionBy("tree", "top", *[f"_p{k}" for k in inner if k <= level])
-        rows = rows.withColumns(
-            {
-                "_sum": F.sum(F.when(F.col("_lead"), F.col("_n"))).over(group),
-                "_first": F.min("code").over(group),
-            }
-        ).withColumns(
-            {
-                "_n": F.col("_sum"),
-                "_lead": F.col("_first") == F.col("code"),
-                "deep": F.col("deep") + (F.col("_sum") > many).cast("int"),
-            }
+        prefixes = [f"_p{k}" for k in inner if k <= level]
+        group = f"(PARTITION BY {', '.join(['tree', 'top', *prefixes])})"
+        summed = rows.selectExpr(
+            "* EXCEPT (_n, _lead)",
+            f"sum(CASE WHEN _lead THEN _n END) OVER {group} AS _n",
+            f"code = min(code) OVER {group} AS _lead",
         )
+        rows = summed.selectExpr("* EXCEPT (deep)", f"deep + int(_n > {many}) AS deep")
     return rows.select(*cells.columns, "top", "deep")
 
 

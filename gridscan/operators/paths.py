@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridscan.config import Params
@@ -20,19 +20,17 @@ def along_path(cells: DataFrame, value: str, name: str, params: Params) -> DataF
     done: list[DataFrame] = []
     for high, low in band_edges(params.max_depth):
         in_band = (F.col("level") <= low) & ((F.col("level") > high) | F.lit(high == 0))
-        base = max(high + 1, 0) if high else 0
+        base = high + 1 if high else 0
         start = G.first_code(F.col("cell"), low, F.col("level"))
         rows = cells.where(in_band).withColumns(
             {"_start": start, "top": F.call_function("shiftright", start, F.lit(2 * (low - high)))}
         )
-        before = (
-            Window.partitionBy("tree", "top")
-            .orderBy("_start", "level")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
+        before = "(PARTITION BY tree, top ORDER BY _start, level ROWS UNBOUNDED PRECEDING)"
+        # The struct tells a NULL value of an ancestor from other levels' rows.
         seen = [
-            F.last(F.when(F.col("level") == k, F.struct(F.col(value).alias("v"))), ignorenulls=True)
-            .over(before)["v"]
+            F.expr(
+                f"last(CASE WHEN level = {k} THEN struct(`{value}` AS v) END, true) OVER {before}.v"
+            )
             for k in range(base, low + 1)
         ]
         own = F.slice(F.array(*seen), 1, F.col("level") - base + 1)
