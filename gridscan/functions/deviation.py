@@ -7,21 +7,18 @@ score, a frontier of cells for the box score.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WIDE = "decimal(38,0)"
 COUNT = "decimal(19,0)"
 
-
-def _div(a: Column, b: Column) -> Column:
-    """Truncating quotient of two decimals; the quotients used here fit 64 bits."""
-    return F.call_function("div", a, b).cast(WIDE)
-
-
-def _wide_sum(values: Column, term) -> Column:
-    zero = F.lit(0).cast(WIDE)
-    return F.aggregate(values, zero, lambda acc, c: (acc + term(c)).cast(WIDE))
+# Path counts up to this fit 64-bit arithmetic in the truncating form.
+LONG_BELOW = 50_000_000
+# Beyond this variance, truncation is smaller than the rounding of doubles.
+REAL_ABOVE = 1e13
 
 
 def path_score(path: Column, exact: bool = False) -> Column:
@@ -30,57 +27,100 @@ def path_score(path: Column, exact: bool = False) -> Column:
     The root count only enters through the single-occupancy test. The default form
     truncates the two quotients under the root as integers do; ``exact`` keeps them real.
     """
-    counts = F.transform(F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0))), lambda c: c.cast(COUNT))
+    below_root = F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0)))
     sums = F.struct(
-        counts.alias("counts"),
-        path[0].cast(WIDE).alias("root"),
-        F.element_at(path, -1).cast("double").alias("own"),
-        _wide_sum(counts, lambda c: c).alias("s1"),
-        _wide_sum(counts, lambda c: c * c).alias("s2"),
+        below_root.alias("counts"),
+        path[0].alias("root"),
+        F.element_at(path, -1).alias("own"),
+        _total(below_root, "bigint", lambda c: c).alias("s1"),
+        _total(below_root, "double", lambda c: c.cast("double") * c.cast("double")).alias("real_s2"),
     )
-    # A one-element transform binds the sums, so each is computed once per row.
-    return F.transform(F.array(sums), lambda s: _path_score_of(s, exact))[0]
+    return _let(sums, lambda s: _path_score_of(s, exact))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value, so that it is computed once per row (by way of a one-element array)."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _total(values: Column, kind: str, term: Callable[[Column], Column]) -> Column:
+    return F.aggregate(values, F.lit(0).cast(kind), lambda acc, c: (acc + term(c)).cast(kind))
 
 
 def _path_score_of(s: Column, exact: bool) -> Column:
-    counts, s1, s2 = s["counts"], s["s1"], s["s2"]
-    mean = s2.cast("double") / s1.cast("double")
+    counts, own, s1 = s["counts"], s["own"].cast("double"), s["s1"].cast("double")
+    largest = counts[0]
+
+    def real_variance(mean: Column) -> Column:
+        def term(c: Column) -> Column:
+            gap = c.cast("double") - mean
+            return c.cast("double") * gap * gap
+
+        return _total(counts, "double", term) / s1
+
+    def score(mean: Column, variance: Column) -> Column:
+        ratio = F.when(variance > 0, (mean - own) / F.sqrt(variance)).otherwise(0.0)
+        return F.greatest(ratio, F.lit(0.0))
+
+    def truncated(kind: str) -> Column:
+        """Score in whole numbers of the given type, or zero for single occupancy."""
+
+        def of_sum(s2: Column) -> Column:
+            whole = s["s1"].cast(kind)
+            variance = _mean_square(counts, whole, kind) - _square_of_ratio(s2, whole, kind)
+            mean = s2.cast("double") / s1
+            return F.when(s2 == s["root"], 0.0).otherwise(score(mean, variance.cast("double")))
+
+        square = _total(counts, kind, lambda c: c.cast(_factor(kind)) * c.cast(_factor(kind)))
+        return _let(square, of_sum)
+
+    real_mean = s["real_s2"] / s1
+    real = _let(real_variance(real_mean), lambda variance: score(real_mean, variance))
     if exact:
-        variance = F.aggregate(
-            counts,
-            F.lit(0.0),
-            lambda acc, c: acc
-            + c.cast("double") * (c.cast("double") - mean) * (c.cast("double") - mean),
-        ) / s1.cast("double")
+        # s2 equals the root count only where both are small enough to be exact.
+        value = F.when(s["real_s2"] == s["root"], 0.0).otherwise(real)
     else:
-        variance = (_mean_square(counts, s1) - _square_of_ratio(s2, s1)).cast("double")
-    score = F.when(variance > 0, (mean - s["own"]) / F.sqrt(variance)).otherwise(0.0)
-    return (
-        F.when((F.size(counts) == 0) | (s1 == 0) | (s2 == s["root"]), 0.0)
-        .otherwise(F.greatest(score, F.lit(0.0)))
-    )
+        value = (
+            F.when(largest <= LONG_BELOW, truncated("bigint"))
+            .when(real_variance(real_mean) > REAL_ABOVE, real)
+            .otherwise(truncated(WIDE))
+        )
+    return F.when((F.size(counts) == 0) | (s["s1"] == 0), 0.0).otherwise(value)
+
 
+def _factor(kind: str) -> str:
+    return "bigint" if kind == "bigint" else COUNT
 
-def _mean_square(counts: Column, s1: Column) -> Column:
-    """floor(sum(c^3) / s1) without forming c^3, exact for counts up to about 10^16.
+
+def _div(a: Column, b: Column, kind: str) -> Column:
+    """Truncating quotient; the quotients used here fit 64 bits."""
+    return F.call_function("div", a, b).cast(kind)
+
+
+def _mean_square(counts: Column, s1: Column, kind: str) -> Column:
+    """floor(sum(c^3) / s1) without forming c^3; as decimals for counts up to about 10^16.
 
     With c^2 = q*s1 + r, c^3 / s1 = q*c + r*c/s1.
     """
-    whole = _wide_sum(counts, lambda c: (_div(c * c, s1) * c).cast(WIDE))
-    rest = _wide_sum(counts, lambda c: (((c * c) % s1) * c).cast(WIDE))
-    return (whole + _div(rest, s1)).cast(WIDE)
+
+    def square(c: Column) -> Column:
+        return c.cast(_factor(kind)) * c.cast(_factor(kind))
+
+    whole = _total(counts, kind, lambda c: (_div(square(c), s1, kind) * c).cast(kind))
+    rest = _total(counts, kind, lambda c: ((square(c) % s1) * c).cast(kind))
+    return (whole + _div(rest, s1, kind)).cast(kind)
 
 
-def _square_of_ratio(s2: Column, s1: Column) -> Column:
+def _square_of_ratio(s2: Column, s1: Column, kind: str) -> Column:
     """floor(s2^2 / s1^2) without forming s2^2.
 
     With s2 = q*s1 + r and 2*q*r = a*s1 + b, it is q^2 + a + floor((b*s1 + r^2) / s1^2).
     """
-    q, r = _div(s2, s1), (s2 % s1).cast(WIDE)
-    twice = (q * r * 2).cast(WIDE)
-    a, b = _div(twice, s1), (twice % s1).cast(WIDE)
-    carry = _div((b * s1 + r * r).cast(WIDE), (s1 * s1).cast(WIDE))
-    return ((q * q).cast(WIDE) + a + carry).cast(WIDE)
+    q, r = _div(s2, s1, kind), (s2 % s1).cast(kind)
+    twice = (q * r * 2).cast(kind)
+    a, b = _div(twice, s1, kind), (twice % s1).cast(kind)
+    carry = _div((b * s1 + r * r).cast(kind), (s1 * s1).cast(kind), kind)
+    return ((q * q).cast(kind) + a + carry).cast(kind)
 
 
 # Below this count, n * s3 and s2^2 fit 38 digits (both are at most n^4).

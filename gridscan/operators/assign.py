@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridscan.config import Params
 from gridscan.functions import geometry as G
+from gridscan.operators.grids import add_offsets
 
 HOT_SHARE = 1 << 16  # a code is hot above 1/65,536 of all points ...
 HOT_ROWS = 100_000  # ... and above this many points
@@ -50,7 +51,7 @@ def join_codes(coded: DataFrame, by_code: DataFrame, hot: DataFrame) -> DataFram
 
 
 def leaf_distance(level: Column, params: Params) -> Column:
-    """Distance of a coded point to the centre of its cell at ``level``."""
+    """Distance of a point with offsets to the centre of its cell at ``level``."""
     cols = [F.col(c) for c in ("u", "v", "ix", "iy")]
     return G.center_distance(*cols, level, params.domain, params.max_depth)
 
@@ -68,7 +69,7 @@ def outside_points(coded: DataFrame) -> DataFrame:
 
 def assign_leaf(coded: DataFrame, leaves_by_code: DataFrame, hot: DataFrame, params: Params) -> DataFrame:
     """Give each point its leaf and the distance to the leaf's centre, in every tree."""
-    joined = join_codes(coded, leaves_by_code.drop("n"), hot)
+    joined = add_offsets(join_codes(coded, leaves_by_code.drop("n"), hot), params)
     return joined.withColumn("distance", leaf_distance(F.col("leaf_level"), params))
 
 

@@ -54,32 +54,46 @@ def _rolled_up(cells: DataFrame, levels_up: int) -> DataFrame:
 def _internal_levels(cells: DataFrame, high: int, low: int, params: Params) -> DataFrame:
     """Add ``top``, the ancestor at level ``high``, and ``deep``: how many prefixes of a cell
     at levels high+1..low hold more than N points. The root band also counts level 0.
+
+    In code order, the cells of a prefix are one run. Its count is the running total at the
+    run's end less the total before its start: starts are handed forwards, ends backwards.
     """
-    inner = range(high + 1, low)
-    many = params.neighborhood_size
-    rows = (
+    levels = range(high + 1 if high else 0, low)
+    group = "PARTITION BY top, tree ORDER BY code"
+    forwards = f"({group} ROWS UNBOUNDED PRECEDING)"
+    backwards = f"({group} DESC ROWS UNBOUNDED PRECEDING)"
+
+    def changes(other: str, level: int) -> str:
+        bits = 2 * (low - level)
+        return f"{other} IS NULL OR shiftright({other}, {bits}) != shiftright(code, {bits})"
+
+    totals = (
         cells.selectExpr("*", f"shiftright(code, {2 * (low - high)}) AS top")
         .repartition("tree", "top")
         .selectExpr(
             "*",
-            *[f"shiftright(code, {2 * (low - level)}) AS _p{level}" for level in inner],
-            "n AS _n",
-            "true AS _lead",
-            f"int(n > {many}) AS deep",
+            f"sum(n) OVER {forwards} AS _upto",
+            f"lag(code) OVER ({group}) AS _prev",
+            f"lead(code) OVER ({group}) AS _next",
         )
     )
-    # Deepest level first: one sort by (tree, top, prefixes...) serves every window, and a
-    # level adds up the cells of the level below, each once, at its first code.
-    for level in reversed(range(high + 1 if high else 0, low)):
-        prefixes = [f"_p{k}" for k in inner if k <= level]
-        group = f"(PARTITION BY {', '.join(['tree', 'top', *prefixes])})"
-        summed = rows.selectExpr(
-            "* EXCEPT (_n, _lead)",
-            f"sum(CASE WHEN _lead THEN _n END) OVER {group} AS _n",
-            f"code = min(code) OVER {group} AS _lead",
-        )
-        rows = summed.selectExpr("* EXCEPT (deep)", f"deep + int(_n > {many}) AS deep")
-    return rows.select(*cells.columns, "top", "deep")
+    starts = totals.selectExpr(
+        "*",
+        *[
+            f"last(CASE WHEN {changes('_prev', level)} THEN _upto - n END, true) OVER {forwards} AS _s{level}"
+            for level in levels
+        ],
+    )
+    ends = starts.selectExpr(
+        "*",
+        *[
+            f"last(CASE WHEN {changes('_next', level)} THEN _upto END, true) OVER {backwards} AS _e{level}"
+            for level in levels
+        ],
+    )
+    counts = ["n", *[f"_e{level} - _s{level}" for level in levels]]
+    deep = " + ".join(f"int({count} > {params.neighborhood_size})" for count in counts)
+    return ends.selectExpr(*cells.columns, "top", f"{deep} AS deep")
 
 
 def code_leaves(codes: DataFrame, params: Params) -> DataFrame:

@@ -52,13 +52,37 @@ def shift_points(points: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def code_points(points: DataFrame, params: Params) -> DataFrame:
-    """Add per tree the lattice indices ``ix``, ``iy`` and the ``code`` at the deepest level."""
+def add_indices(shifted: DataFrame, params: Params) -> DataFrame:
+    """Add the lattice indices ``ix``, ``iy`` at the deepest level from ``u``, ``v``."""
     domain, depth = params.domain, params.max_depth
-    indexed = shift_points(points, params).withColumns(
+    return shifted.withColumns(
         {
             "ix": G.lattice_index(F.col("u"), domain.width, depth),
             "iy": G.lattice_index(F.col("v"), domain.height, depth),
         }
     )
-    return indexed.withColumn("code", G.morton(F.col("ix"), F.col("iy")))
+
+
+def code_points(points: DataFrame, params: Params) -> DataFrame:
+    """Repeat each point per tree with its ``code`` at the deepest level."""
+    coded = add_indices(shift_points(points, params), params)
+    return coded.select(
+        *points.columns, "tree", "in_domain", G.morton(F.col("ix"), F.col("iy")).alias("code")
+    )
+
+
+def add_offsets(coded: DataFrame, params: Params) -> DataFrame:
+    """Restore ``u``, ``v``, ``ix``, ``iy`` of coded points inside the domain.
+
+    Recomputing four numbers after a shuffle is cheaper than shuffling them.
+    """
+    domain = params.domain
+    shifts = F.array(
+        *[F.struct(F.lit(sx).alias("sx"), F.lit(sy).alias("sy")) for sx, sy in params.shifts()]
+    )
+    shift = F.get(shifts, F.col("tree"))
+    offsets = {
+        "u": G.torus_offset(F.col("x"), domain.x_min, domain.width, shift["sx"]),
+        "v": G.torus_offset(F.col("y"), domain.y_min, domain.height, shift["sy"]),
+    }
+    return add_indices(coded.withColumns(offsets), params)

@@ -14,6 +14,7 @@ from gridscan.functions import geometry as G
 from gridscan.operators.assign import join_codes, leaf_distance, outside_points
 from gridscan.operators.cells import NODE, leaf_cells
 from gridscan.operators.codes import levels_between
+from gridscan.operators.grids import add_offsets
 from gridscan.operators.paths import along_path, path_counts
 
 POINT = ["point_id", "batch_id", "ts", "x", "y"]
@@ -239,7 +240,7 @@ def score_coded(
     coded: DataFrame, codes_with_score: DataFrame, hot: DataFrame, params: Params
 ) -> DataFrame:
     """Scored points from coded points and the scores of their codes."""
-    located = join_codes(coded, codes_with_score, hot).withColumns(
+    located = add_offsets(join_codes(coded, codes_with_score, hot), params).withColumns(
         {
             "distance": leaf_distance(F.col("leaf_level"), params),
             "node_id": G.node_id(F.col("leaf_level"), F.col("leaf_cell")),
