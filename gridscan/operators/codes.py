@@ -56,16 +56,18 @@ def _internal_levels(cells: DataFrame, high: int, low: int, params: Params) -> D
     at levels high+1..low hold more than N points. The root band also counts level 0.
 
     In code order, the cells of a prefix are one run. Its count is the running total at the
-    run's end less the total before its start: starts are handed forwards, ends backwards.
+    run's end less the total before its start. Both totals only grow along the order, so a
+    running maximum hands the starts forwards and a running minimum the ends backwards.
     """
     levels = range(high + 1 if high else 0, low)
     group = "PARTITION BY top, tree ORDER BY code"
     forwards = f"({group} ROWS UNBOUNDED PRECEDING)"
     backwards = f"({group} DESC ROWS UNBOUNDED PRECEDING)"
+    far = (1 << 63) - 1
 
-    def changes(other: str, level: int) -> str:
-        bits = 2 * (low - level)
-        return f"{other} IS NULL OR shiftright({other}, {bits}) != shiftright(code, {bits})"
+    def differs(bits: str, level: int) -> str:
+        """The neighbour with these differing bits lies in another cell of the level."""
+        return f"{bits} >= {1 << (2 * (low - level))}L"
 
     totals = (
         cells.selectExpr("*", f"shiftright(code, {2 * (low - high)}) AS top")
@@ -73,21 +75,21 @@ def _internal_levels(cells: DataFrame, high: int, low: int, params: Params) -> D
         .selectExpr(
             "*",
             f"sum(n) OVER {forwards} AS _upto",
-            f"lag(code) OVER ({group}) AS _prev",
-            f"lead(code) OVER ({group}) AS _next",
+            f"coalesce(code ^ lag(code) OVER ({group}), {far}L) AS _before",
+            f"coalesce(code ^ lead(code) OVER ({group}), {far}L) AS _after",
         )
     )
     starts = totals.selectExpr(
         "*",
         *[
-            f"last(CASE WHEN {changes('_prev', level)} THEN _upto - n END, true) OVER {forwards} AS _s{level}"
+            f"max(CASE WHEN {differs('_before', level)} THEN _upto - n END) OVER {forwards} AS _s{level}"
             for level in levels
         ],
     )
     ends = starts.selectExpr(
         "*",
         *[
-            f"last(CASE WHEN {changes('_next', level)} THEN _upto END, true) OVER {backwards} AS _e{level}"
+            f"min(CASE WHEN {differs('_after', level)} THEN _upto END) OVER {backwards} AS _e{level}"
             for level in levels
         ],
     )
