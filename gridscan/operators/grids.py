@@ -64,11 +64,10 @@ def add_indices(shifted: DataFrame, params: Params) -> DataFrame:
 
 
 def code_points(points: DataFrame, params: Params) -> DataFrame:
-    """Repeat each point per tree with its ``code`` at the deepest level."""
+    """Repeat each point per tree with its ``code`` at the deepest level, NULL outside."""
     coded = add_indices(shift_points(points, params), params)
-    return coded.select(
-        *points.columns, "tree", "in_domain", G.morton(F.col("ix"), F.col("iy")).alias("code")
-    )
+    code = F.when(F.col("in_domain"), G.morton(F.col("ix"), F.col("iy")))
+    return coded.select(*points.columns, "tree", "in_domain", code.alias("code"))
 
 
 def add_offsets(coded: DataFrame, params: Params) -> DataFrame:
