@@ -7,21 +7,13 @@ per level, and "point in cell" becomes equality of prefixes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gridscan.config import Domain
 
-# Fixed values: (shift, mask) steps that spread 32 bits to the even bit positions.
-SPREAD_STEPS = (
-    (16, 0x0000FFFF0000FFFF),
-    (8, 0x00FF00FF00FF00FF),
-    (4, 0x0F0F0F0F0F0F0F0F),
-    (2, 0x3333333333333333),
-    (1, 0x5555555555555555),
-)
-
-
 def _shift_right(value: Column, bits: Column | int) -> Column:
     return F.call_function("shiftright", value, bits if isinstance(bits, Column) else F.lit(bits))
 
@@ -43,20 +35,32 @@ def torus_offset(v: Column, low: float, width: float, shift: Column) -> Column:
 
 
 def lattice_index(u: Column, width: float, depth: int) -> Column:
-    """Index of the cell along one axis at the deepest level; the upper edge is the last cell."""
+    """Index of the cell along one axis at the deepest level; the upper edge is the last cell.
+
+    A NULL offset has a NULL index.
+    """
     side = 1 << depth
-    return F.least(F.floor(u / F.lit(width) * F.lit(float(side))), F.lit(side - 1).cast("long"))
+    index = F.least(F.floor(u / F.lit(width) * F.lit(float(side))), F.lit(side - 1).cast("long"))
+    return F.when(u.isNotNull(), index)
+
 
+def _spread(value: Column, depth: int) -> Column:
+    """Move the bits of a number to the even positions, a byte at a time.
 
-def _spread(value: Column) -> Column:
-    for bits, mask in SPREAD_STEPS:
-        value = value.bitwiseOR(_shift_left(value, bits)).bitwiseAND(F.lit(mask))
-    return value
+    The table of spread bytes is a constant of the plan. Shifting and masking the whole
+    number instead repeats it 32 times in the expression, which is too much generated code.
+    """
+    table = F.lit([int(f"{byte:b}", 4) for byte in range(256)])
+    spread = []
+    for k in range(0, depth, 8):
+        byte = _shift_right(value, k).bitwiseAND(F.lit(255)).cast("int")
+        spread.append(_shift_left(F.get(table, byte).cast("long"), 2 * k))
+    return reduce(Column.bitwiseOR, spread)
 
 
-def morton(ix: Column, iy: Column) -> Column:
-    """Interleave two lattice indices; x takes the even bits."""
-    return _spread(ix).bitwiseOR(_shift_left(_spread(iy), 1))
+def morton(ix: Column, iy: Column, depth: int) -> Column:
+    """Interleave two lattice indices below 2^depth; x takes the even bits."""
+    return _spread(ix, depth).bitwiseOR(_shift_left(_spread(iy, depth), 1))
 
 
 def cell_at(code: Column, depth: int | Column, level: int | Column) -> Column:

@@ -66,7 +66,7 @@ def add_indices(shifted: DataFrame, params: Params) -> DataFrame:
 def code_points(points: DataFrame, params: Params) -> DataFrame:
     """Repeat each point per tree with its ``code`` at the deepest level, NULL outside."""
     coded = add_indices(shift_points(points, params), params)
-    code = F.when(F.col("in_domain"), G.morton(F.col("ix"), F.col("iy")))
+    code = G.morton(F.col("ix"), F.col("iy"), params.max_depth)
     return coded.select(*points.columns, "tree", "in_domain", code.alias("code"))
 
 
