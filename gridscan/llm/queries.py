@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscan.llm import chat_format, fertility, pieces, quality_model, secret_scan, source_mix, url_filter
+from gridscan.llm import (
+    chat_format,
+    fertility,
+    jaccard_join,
+    pieces,
+    quality_model,
+    secret_scan,
+    source_mix,
+    suffix_dedup,
+    url_filter,
+)
 from gridscan.llm.common import ready, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -130,6 +140,18 @@ def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge_fertility(documents, RANK_FILE, RANK_PATTERN).drop("text", "lang")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.similar_groups(documents, jaccard_join.Similar(words=4, percent=85))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(documents, length=50).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -139,4 +161,6 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_source_mix": op6_source_mix,
         "op7_pieces": op7_pieces,
         "op8_fertility": op8_fertility,
+        "op9_jaccard_join": op9_jaccard_join,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
