@@ -11,6 +11,7 @@ from gridscan.llm import (
     chat_format,
     fertility,
     jaccard_join,
+    neighbours,
     pieces,
     quality_model,
     secret_scan,
@@ -113,6 +114,11 @@ def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(ready(spark), sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(embeddings, F.col("id") % 20 == 0, top=20)
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(ready(spark), sf_dir, "documents").select("doc_id", "lang", "source", "text")
     domain = domain_of(F.col("source"))
@@ -158,6 +164,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_url_filter": op2_url_filter,
         "op3_secret_scan": op3_secret_scan,
         "op4_quality_model": op4_quality_model,
+        "op5_neighbours": op5_neighbours,
         "op6_source_mix": op6_source_mix,
         "op7_pieces": op7_pieces,
         "op8_fertility": op8_fertility,
