@@ -46,10 +46,10 @@ class Descent:
     rounds: int = 6  # of first edges
     bucket: int = 400  # points compared with each other for first edges, about
     group: int = 96  # nodes brought together at once, about
-    iterations: int = 5  # at most
+    iterations: int = 6  # at most
     change: float = 0.03  # share of edges that may change when it ends
-    beam: int = 192  # nodes that a query keeps
-    step: int = 48  # nodes that a query visits in a hop, at most
+    beam: int = 384  # nodes that a query keeps
+    step: int = 64  # nodes that a query visits in a hop, at most
     entries: int = 16  # nodes of largest norm at which all queries start
     seed: int = 11
 
