@@ -1,6 +1,6 @@
-"""Suffix sorting by linear grouping, for one block of bytes.
+"""Suffix sorting by linear grouping, for one block of bytes or other symbols.
 
-First phase: suffixes are grouped by their first byte, and groups are taken from the largest to the
+First phase: suffixes are grouped by their first symbol, and groups are taken from the largest to the
 smallest. For every suffix of a group its previous smaller pointer is found: the nearest position before it
 whose group is still smaller. The contexts at those positions are extended by the group's context, as often
 as it follows there, and positions with more repeats go to a new, larger group just behind their old one.
@@ -33,9 +33,9 @@ def _insert_behind(group: _Group, length: int) -> _Group:
     return new
 
 
-def _lyndon_groups(data: bytes) -> tuple[_Group | None, list[_Group]]:
+def _lyndon_groups(data: bytes | str) -> tuple[_Group | None, list[_Group]]:
     """The last group, and the group of each position."""
-    first: dict[int, _Group] = {}
+    first: dict[int | str, _Group] = {}
     last: _Group | None = None
     for byte in sorted(set(data)):
         group = _Group(1)
@@ -86,7 +86,7 @@ def _lyndon_groups(data: bytes) -> tuple[_Group | None, list[_Group]]:
     return top, of
 
 
-def suffix_array(data: bytes) -> list[int]:
+def suffix_array(data: bytes | str) -> list[int]:
     """Starts of all suffixes in ascending order."""
     n = len(data)
     group, of = _lyndon_groups(data)

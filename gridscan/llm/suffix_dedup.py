@@ -6,19 +6,21 @@ smaller id. Overlaps count, and strings are judged on the input.
 Suffixes need to be sorted only where texts can agree. A string of ``length`` bytes holds an anchor: the
 32-byte gram of smallest hash in it (the first of equal ones), so equal strings have equal anchors at equal
 places. Strings that follow one another in a text with the same anchor are a run; its context are the bytes
-that they cover. Steps, all exact:
+that they cover. Steps, all exact but for equal 64-bit hashes of different texts or grams:
 
 1. Equal texts are one class, which the smallest id stands for. Longer copies than ``length`` go whole.
 2. Anchors are dealt by hash in packed blocks. Those of one class only can share no string.
-3. Texts with shared anchors give the contexts of their runs. Contexts meet by anchor: of equal ones all but
-   that of the smallest id go whole.
-4. Where an anchor has several contexts, these are joined into blocks, whose suffixes are sorted (linear
-   grouping over Lyndon prefixes, ``lyndon_sort``). In that order equal strings stand together; all but
-   those of the smallest id go.
+3. Texts with shared anchors give the contexts of their runs. Of equal contexts that one task sees, those
+   of larger ids go at once and only the rest move on, so a passage that very many texts have moves about
+   once per task.
+4. Contexts meet by anchor. All that differ are joined into blocks in which an anchor is one symbol, and
+   the suffixes are sorted (linear grouping over Lyndon prefixes, ``lyndon_sort``). In that order equal
+   strings stand together; all but those of the smallest id go. Contexts that have neither side near the
+   anchor in common with another one cannot share a string and are left out.
 5. Removed stretches are gathered per class and cut out of the texts.
 
-An anchor with more than ``large`` different contexts is not put in one block: its strings are spread by
-their own bytes, and the smallest id of each is an aggregation.
+An anchor that more than ``large`` texts have is not brought together as one: its strings meet by their own
+bytes, again after larger ids have gone in every task.
 
 Defined cases: null and empty texts, and those shorter than ``length``, lose nothing; very long texts are
 treated whole; a null id counts as larger than all others; equal rows with one id lose only what smaller ids
@@ -28,11 +30,13 @@ have; an empty table gives no rows; further columns are kept, result columns rep
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridscan.llm.common import with_fields, written
@@ -42,7 +46,7 @@ from gridscan.llm.packed import U, mix, shared_keys, slices, unpack
 GRAM = 32
 BATCH_BYTES = 4_000_000
 BLOCK_KEYS = 1_000_000
-SORT_BYTES = 200_000  # bytes of contexts whose suffixes are sorted together
+SORT_SYMBOLS = 100_000  # symbols of contexts whose suffixes are sorted together, about
 LARGE = 20_000
 LAST_ID = (1 << 63) - 1
 _POSITION = U(0xFFFFFF)
@@ -70,7 +74,7 @@ def _smallest(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each run: 48-bit anchor, index of its text, first start and last start of its strings."""
+    """For each run: anchor hash, index of its text, first and last start of its strings, place of the anchor."""
     out = []
     held: list[tuple[int, int, bytes]] = []  # index, offset in its text, bytes
     size = 0
@@ -85,8 +89,8 @@ def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.nd
     if held:
         out.append(_runs(held, length))
     if not out:
-        return np.empty(0, U), *(np.empty(0, np.int64) for _ in range(3))
-    return tuple(np.concatenate([o[k] for o in out]) for k in range(4))
+        return np.empty(0, U), *(np.empty(0, np.int64) for _ in range(4))
+    return tuple(np.concatenate([o[k] for o in out]) for k in range(5))
 
 
 def _runs(held: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, ...]:
@@ -109,15 +113,19 @@ def _runs(held: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray,
     which = np.searchsorted(ends, at[first], side="right")
     offset = np.array([o for _, o, _ in held])[which] - starts[which]
     index = np.array([i for i, _, _ in held])[which]
-    return key[anchor[first]] >> U(16), index, at[first] + offset, at[last] + offset
+    place = anchor[first]
+    return key[place], index, at[first] + offset, at[last] + offset, place + offset
 
 
 def _bytes_of(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def shared_anchors(texts: DataFrame, length: int) -> DataFrame:
-    """class, anchors: the anchors of each class that other classes have too. texts: class, text."""
+def shared_anchors(texts: DataFrame, length: int, large: int) -> DataFrame:
+    """class, anchors, frequent: 48 bits of the anchors of each class that other classes have too.
+
+    frequent: those that more than ``large`` classes have. texts: class, text.
+    """
     buckets = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,8 +148,9 @@ def shared_anchors(texts: DataFrame, length: int) -> DataFrame:
                     at.append(len(seen))
                     seen[owner] = len(seen)
                     fresh.append(_bytes_of(text))
-            key, index, _, _ = runs(fresh, length)
+            key, index, *_ = runs(fresh, length)
             if len(key):
+                key = key >> U(16)
                 both = np.unique(np.rec.fromarrays([np.array(at)[index], key], names="o,k"))
                 owners.append(np.ascontiguousarray(both.o))
                 keys.append(np.ascontiguousarray(both.k))
@@ -155,48 +164,74 @@ def shared_anchors(texts: DataFrame, length: int) -> DataFrame:
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, owners, _ = shared_keys([unpack(b) for b in pdf["block"]])
-        more = np.zeros(len(keys), dtype=bool)  # in two classes or more
-        more[1:] = keys[1:] == keys[:-1]
-        more[:-1] |= more[1:]
-        return pd.DataFrame({"class": owners[more], "anchor": keys[more].view(np.int64)})
+        _, index, times = np.unique(keys, return_inverse=True, return_counts=True)
+        times = times[index]
+        more = times > 1
+        anchors = keys[more].view(np.int64)
+        return pd.DataFrame({"class": owners[more], "anchor": anchors, "often": times[more] > large})
 
     blocks = texts.mapInPandas(split, "bucket int, block binary")
-    rows = blocks.groupBy("bucket").applyInPandas(count, "class long, anchor long")
-    return rows.groupBy("class").agg(F.collect_list("anchor").alias("anchors"))
+    rows = blocks.groupBy("bucket").applyInPandas(count, "class long, anchor long, often boolean")
+    return rows.groupBy("class").agg(
+        F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("often"), F.col("anchor"))).alias("frequent")
+    )
 
 
-def contexts_of(texts: DataFrame, length: int) -> DataFrame:
-    """anchor, context, id, start: the runs of each text's shared anchors. texts: id, text, anchors."""
+SIDES = "key long, left binary, right binary, id long, class long, start long, end long"
+
+
+def sides_of(texts: DataFrame, length: int) -> DataFrame:
+    """SIDES: the contexts of each text's shared anchors, as the bytes before and behind the anchor.
+
+    A row without sides is a stretch that goes: the task saw its context with a smaller id. For a frequent
+    anchor each string is a context of its own, with a key of its own. texts: id, first, class, text,
+    anchors, frequent; only rows whose id is ``first`` count.
+    """
+
+    def within(key: np.ndarray, known: np.ndarray) -> np.ndarray:
+        return np.isin(key >> U(16), np.asarray(known).astype(np.int64).view(U))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            pdf = pdf[(pdf["id"] == pdf["first"]) & pdf["anchors"].notna()].drop_duplicates(["class", "id"])
             data = [_bytes_of(t) for t in pdf["text"]]
-            key, index, first, last = runs(data, length)
+            key, index, first, last, place = runs(data, length)
             edges = np.searchsorted(index, np.arange(len(data) + 1))
-            parts = []
-            for i, anchors in enumerate(pdf["anchors"]):
-                low, high = edges[i], edges[i + 1]
-                parts.append(low + np.flatnonzero(np.isin(key[low:high], np.asarray(anchors).astype(np.int64).view(U))))
-            keep = np.concatenate(parts) if parts else np.empty(0, np.int64)
-            if len(keep):
-                ids = pdf["id"].to_numpy()
-                yield pd.DataFrame(
-                    {
-                        "anchor": key[keep].view(np.int64),
-                        "context": [data[i][a : b + length] for i, a, b in zip(index[keep], first[keep], last[keep])],
-                        "id": ids[index[keep]],
-                        "class": pdf["class"].to_numpy()[index[keep]],
-                        "start": first[keep],
-                    }
-                )
-
-    schema = "anchor long, context binary, id long, class long, start long"
-    return texts.select("id", "class", "text", "anchors").mapInPandas(cut, schema)
-
-
-def earlier_strings(contexts: list[bytes], ids: list[int], length: int) -> list[np.ndarray]:
-    """For each context the starts of its strings that a context of a smaller id has too."""
-    data = b"".join(contexts)
+            often = np.zeros(len(key), dtype=bool)
+            keep = np.zeros(len(key), dtype=bool)
+            for i, (anchors, frequent) in enumerate(zip(pdf["anchors"], pdf["frequent"])):
+                part = slice(edges[i], edges[i + 1])
+                keep[part] = within(key[part], anchors)
+                if len(frequent):
+                    often[part] = within(key[part], frequent)
+            once = np.flatnonzero(keep & ~often)
+            many = np.flatnonzero(keep & often)
+            parts = last[many] - first[many] + 1  # strings of the runs of frequent anchors
+            step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            which = np.concatenate([once, np.repeat(many, parts)])
+            start = np.concatenate([first[once], first[np.repeat(many, parts)] + step])
+            end = np.concatenate([last[once], first[np.repeat(many, parts)] + step]) + length
+            if not len(which):
+                continue
+            place_of, anchor, text = place[which], key[which].copy(), index[which]
+            left = [data[i][a:p] for i, a, p in zip(text, start, place_of)]
+            right = [data[i][p + GRAM : b] for i, p, b in zip(text, place_of, end)]
+            for j in range(len(once), len(which)):
+                anchor[j] ^= U(xxhash.xxh3_64_intdigest(left[j] + b"|" + right[j], seed=len(left[j])))
+            rows = pd.DataFrame({
+                "key": anchor.view(np.int64), "left": left, "right": right, "id": pdf["id"].to_numpy()[text],
+                "class": pdf["class"].to_numpy()[text], "start": start, "end": end,
+            })
+            least = rows.groupby(["key", "left", "right"], sort=False)["id"].transform("min")
+            rows.loc[rows["id"] > least, ["left", "right"]] = None
+            yield rows
+
+    return texts.select("id", "first", "class", "text", "anchors", "frequent").mapInPandas(cut, SIDES)
+
+
+def earlier_strings(contexts: list[str], ids: list[int], length: int) -> list[np.ndarray]:
+    """For each context the starts of its strings of so many symbols that a context of a smaller id has too."""
+    data = "".join(contexts)
     sizes = np.array([len(c) for c in contexts])
     ends = np.cumsum(sizes)
     begins = ends - sizes
@@ -205,8 +240,8 @@ def earlier_strings(contexts: list[bytes], ids: list[int], length: int) -> list[
     inside = order + length <= ends[which]
     order, which = order[inside], which[inside]
     owner = np.array(ids, dtype=np.int64)[which]
-    same = np.array([False, *(data[a : a + length] == data[b : b + length] for a, b in zip(order[:-1], order[1:]))])
-    first = np.flatnonzero(~same[: len(order)])
+    strings = [data[a : a + length] for a in order.tolist()]
+    first = np.flatnonzero(np.array([True, *(a != b for a, b in zip(strings[:-1], strings[1:]))])[: len(order)])
     found: list[list[int]] = [[] for _ in contexts]
     if len(order):
         least = np.repeat(np.minimum.reduceat(owner, first), np.diff(np.append(first, len(order))))
@@ -225,85 +260,73 @@ def stretches(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(int(starts[a]), int(starts[b]) + length) for a, b in zip(first, last)]
 
 
-def sorted_matches(rows: DataFrame, length: int) -> DataFrame:
-    """class, start, end: what goes from contexts that meet others at their anchor.
+class _Block:
+    """Contexts of some anchors; adds what goes of them to a list of (class, start, end)."""
+
+    def __init__(self, length: int):
+        self.strings = length - GRAM + 1  # symbols of a string, its anchor being one
+        self.rows: list[tuple[str, int, list[tuple[int, int]]]] = []  # context, id, the (class, start) that have it
+        self.size = 0
+        self.anchors = 0
+
+    def add(self, members: list[tuple], out: list[tuple[int, int, int]]) -> None:
+        """members: left, right, id, class, start, end of one anchor."""
+        least: dict[tuple[bytes, bytes], int] = {}
+        for left, right, own, *_ in members:
+            known = least.get((left, right))
+            least[(left, right)] = own if known is None else min(known, own)
+        have: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
+        for left, right, own, text, start, end in members:
+            if own > least[(left, right)]:
+                out.append((text, start, end))
+            else:
+                have.setdefault((left, right), []).append((text, start))
+        if len(have) < 2:
+            return
+        # Strings agree in half of their bytes before the anchor or in half of those behind it, or in more.
+        near = self.strings // 2
+        before, behind = Counter(x[-near:] for x, _ in have), Counter(y[:near] for _, y in have)
+        mark = chr(0x10000 + self.anchors)
+        self.anchors += 1
+        for (left, right), places in have.items():
+            if before[left[-near:]] > 1 or behind[right[:near]] > 1:
+                self.rows.append((left.decode("latin-1") + mark + right.decode("latin-1"), least[(left, right)], places))
+                self.size += len(self.rows[-1][0])
+
+    def sort(self, out: list[tuple[int, int, int]]) -> None:
+        found = earlier_strings([r[0] for r in self.rows], [r[1] for r in self.rows], self.strings)
+        for (_, _, places), starts in zip(self.rows, found):
+            for a, b in stretches(starts, self.strings):
+                out += [(text, start + a, start + b + GRAM - 1) for text, start in places]
+        self.rows, self.size, self.anchors = [], 0, 0
 
-    rows: anchor, context, id, class, start; one row per anchor and context.
-    """
 
-    def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[int, bytes, int, int, int]] = []
-        size = 0
-
-        def judge(block: list[tuple[int, bytes, int, int, int]]) -> pd.DataFrame:
-            found = earlier_strings([r[1] for r in block], [r[2] for r in block], length)
-            out = [
-                (r[3], r[4] + a, r[4] + b) for r, starts in zip(block, found) for a, b in stretches(starts, length)
-            ]
-            return pd.DataFrame(out, columns=["class", "start", "end"])
+def sorted_matches(rows: DataFrame, length: int) -> DataFrame:
+    """class, start, end: what goes, of rows of SIDES."""
 
+    def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, members, at = _Block(length), [], None
+        out: list[tuple[int, int, int]] = []
         for pdf in batches:
-            for row in zip(pdf["anchor"], pdf["context"], pdf["id"], pdf["class"], pdf["start"]):
-                if size >= SORT_BYTES and row[0] != held[-1][0]:
-                    yield judge(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[1])
-        if held:
-            yield judge(held)
-
-    dealt = rows.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.select("anchor", "context", "id", "class", "start").mapInPandas(
-        sort, "class long, start long, end long"
-    )
-
-
-def spread_matches(rows: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many contexts: strings meet by their own bytes."""
-    places = F.sequence(F.lit(0), F.length("context") - length)
-    strings = rows.select("id", "class", "start", "context", F.explode(places).alias("at"))
-    strings = strings.select(
-        "id", "class", (F.col("start") + F.col("at")).alias("start"), F.substring("context", F.col("at") + 1, length).alias("s")
-    )
-    least = strings.groupBy("s").agg(F.min("id").alias("least"))
-    found = strings.join(least, "s").where("id > least")
-    return found.select("class", "start", (F.col("start") + length).alias("end"))
-
-
-def removed_stretches(documents: DataFrame, length: int, large: int) -> tuple[DataFrame, DataFrame]:
-    """(class, id: what stands for each text), (class, stretches: what it loses)."""
-    named = documents.select(
-        F.xxhash64("text").alias("class"), F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "text"
-    ).where(F.octet_length("text") >= length)
-    classes = written(named.groupBy("class").agg(F.min("id").alias("id")))
-    anchors = shared_anchors(named.select("class", "text"), length)
-    wanted = written(anchors.join(classes, "class"))
-    one = named.join(wanted, ["class", "id"])
-    rows = contexts_of(one, length).dropDuplicates(["class", "anchor", "start"])
-    same = Window.partitionBy("anchor", "context")
-    rows = rows.select("*", F.min(F.struct("id", "class", "start")).over(same).alias("least"))
-    rows = written(rows.select("anchor", "context", "id", "class", "start", "least"))
-    whole = rows.where(F.col("id") > F.col("least.id")).select(
-        "class", "start", (F.col("start") + F.length("context")).alias("end")
-    )
-    first = rows.where(F.struct("id", "class", "start") == F.col("least")).drop("least")
-    kinds = first.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    several = written(first.join(kinds, "anchor"))
-    others = rows.where((F.col("id") == F.col("least.id")) & (F.struct("id", "class", "start") != F.col("least")))
-    again = others.select("anchor", "context", "id", "class", "start").join(kinds.select("anchor"), "anchor")
-    few = sorted_matches(several.where(F.col("kinds") <= large).drop("kinds"), length)
-    many = spread_matches(several.where(F.col("kinds") > large).drop("kinds"), length)
-    found = written(few.union(many))
-    # The same context again in texts of the same id: it loses what the first one loses.
-    told = several.select("anchor", "context", F.col("class").alias("c"), F.col("start").alias("s"))
-    repeats = again.select("anchor", "context", "class", "start").join(told, ["anchor", "context"])
-    repeats = repeats.join(found.select(F.col("class").alias("c"), F.col("start").alias("f"), "end"), "c")
-    repeats = repeats.where(
-        (F.col("f") >= F.col("s")) & (F.col("end") <= F.col("s") + F.length("context"))
-    ).select("class", (F.col("start") + F.col("f") - F.col("s")).alias("start"), (F.col("start") + F.col("end") - F.col("s")).alias("end"))
-    lost = whole.union(found).union(repeats)
-    lost = lost.groupBy("class").agg(F.collect_list(F.struct("start", "end")).alias("stretches"))
-    return classes, written(lost)
+            for key, left, right, *rest in zip(*(pdf[c] for c in ("key", "left", "right", "id", "class", "start", "end"))):
+                if left is None:
+                    out.append(tuple(rest[1:]))
+                    continue
+                if key != at:
+                    block.add(members, out)
+                    members, at = [], key
+                    if block.size >= SORT_SYMBOLS:
+                        block.sort(out)
+                members.append((left, right, *rest))
+            if len(out) > 50_000:
+                yield pd.DataFrame(out, columns=["class", "start", "end"])
+                out = []
+        block.add(members, out)
+        block.sort(out)
+        yield pd.DataFrame(out, columns=["class", "start", "end"])
+
+    dealt = rows.repartition("key").sortWithinPartitions("key")
+    return dealt.mapInPandas(sort, "class long, start long, end long")
 
 
 def joined_stretches(pairs) -> list[tuple[int, int]]:
@@ -324,9 +347,17 @@ def remove_repeats(documents: DataFrame, length: int = 50, large: int = LARGE) -
     """documents (doc_id, text, ...) with FIELDS; ``kept`` are the remaining bytes."""
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} or more")
-    classes, lost = removed_stretches(documents, length, large)
-    told = classes.withColumnRenamed("id", "rd_first").join(lost, "class", "left")
-    told = told.withColumnRenamed("stretches", "rd_stretches").withColumnRenamed("class", "rd_class")
+    last = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+    own = documents.withColumn("rd_class", F.xxhash64(F.coalesce("text", F.lit(""))))
+    texts = own.select(F.col("rd_class").alias("class"), "text").where(F.octet_length("text") >= length)
+    firsts = own.select("rd_class", last.alias("id")).groupBy("rd_class").agg(F.min("id").alias("rd_first"))
+    wanted = firsts.join(shared_anchors(texts, length, large).withColumnRenamed("class", "rd_class"), "rd_class", "left")
+    wanted = written(wanted)
+    dealt = own.join(wanted, "rd_class", "left")
+    shared = dealt.select(last.alias("id"), F.col("rd_first").alias("first"), F.col("rd_class").alias("class"), "text", "anchors", "frequent")
+    lost = sorted_matches(sides_of(shared, length), length)
+    lost = lost.groupBy(F.col("class").alias("rd_class")).agg(F.collect_list(F.struct("start", "end")).alias("rd_stretches"))
+    rows = own.join(wanted.select("rd_class", "rd_first").join(lost, "rd_class", "left"), "rd_class", "left")
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -343,7 +374,6 @@ def remove_repeats(documents: DataFrame, length: int = 50, large: int = LARGE) -
                 rows.append((len(data), len(data) - len(kept), len(gone), kept, hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(rows, columns=FIELDS)
 
-    own = F.when(F.octet_length("text") >= length, F.xxhash64("text"))
-    rows = documents.withColumn("rd_class", own).join(told, "rd_class", "left")
-    copy = F.coalesce(F.coalesce("doc_id", F.lit(LAST_ID)) > F.col("rd_first"), F.lit(False))
-    return with_fields(rows, cut("text", copy, "rd_stretches"), FIELDS).drop("rd_class", "rd_first", "rd_stretches")
+    copy = (F.octet_length("text") >= length) & (last > F.col("rd_first"))
+    cut_rows = with_fields(rows, cut("text", F.coalesce(copy, F.lit(False)), "rd_stretches"), FIELDS)
+    return cut_rows.drop("rd_class", "rd_first", "rd_stretches")
