@@ -17,7 +17,6 @@ from checks import datasets as D
 from gridscan.config import Params
 from gridscan.operators.window import window_count
 from gridscan.plans.detect import detect
-from gridscan.plans.tables import shared_dir
 from gridscan.streaming.run import StreamOptions, advance_window
 from gridscan.streaming.state import WindowState
 
@@ -31,14 +30,14 @@ def consume(df: DataFrame) -> None:
 
 
 def scored(points: DataFrame, params: Params) -> None:
-    consume(detect(points, params, shared_dir(points.sparkSession)).points)
+    consume(detect(points, params, D.work_folder(points.sparkSession)).points)
 
 
 def batch_seconds(spark: SparkSession, mode: str) -> float:
     """Seconds of the last of three micro-batches, with a window of half the points."""
     raw = D.raw_events(spark, SF_DIR, DAYS)
     params = replace(D.ONE, window_size=raw.count() // 2)
-    state = WindowState(spark, shared_dir(spark))
+    state = WindowState(spark, D.work_folder(spark))
     for number in range(3):
         start = time.monotonic()
         batch = raw.where(F.col("batch_id") == number)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridscan.config import Domain, Params
 from gridscan.operators.batch import dedup_batch
+from gridscan.plans.tables import CHECKPOINT_CONF, shared_dir
 from gridscan.sources.points import points_from
 
 # Shifts that do not line up with the cells, so distances do not tie.
@@ -26,6 +31,13 @@ EMBEDDING = Params(max_depth=DEPTH, domain=EMBEDDING_DOMAIN, neighborhood_size=1
 FIRST_DAY = "2024-01-01"
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder of the session's shared one; in local mode without one, a temporary folder."""
+    if not spark.conf.get(CHECKPOINT_CONF, None) and re.match(r"local(\[[^-]|$)", spark.sparkContext.master):
+        return f"{tempfile.mkdtemp(prefix='gridscan-')}/{uuid.uuid4().hex}"
+    return shared_dir(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,7 +15,7 @@ from gridscan.operators import assign, batch, cells, codes, grids, score, window
 from gridscan.operators.paths import path_counts
 from gridscan.plans import report
 from gridscan.plans.detect import detect
-from gridscan.plans.tables import shared_dir, write_table
+from gridscan.plans.tables import write_table
 from gridscan.sources.points import parse_points, read_points_text, stream_points
 from gridscan.sources.sinks import read_metrics, read_scores
 from gridscan.streaming.run import StreamOptions, replay, run_stream
@@ -63,7 +63,7 @@ def q_parse_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_read_points_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_dir(spark)
+    path = D.work_folder(spark)
     lines = _lines(D.raw_events(spark, sf_dir, REPLAY_DAYS)).select("batch_id", "value")
     lines.write.partitionBy("batch_id").text(path)
     return read_points_text(spark, path).select("batch_id", "x", "y")
@@ -199,7 +199,7 @@ def _halves(spark: SparkSession, sf_dir: str, params: Params) -> tuple[DataFrame
     second = codes.code_counts(coded.where(F.col("batch_id") == 1))
     old = cells.build_cells(codes.code_leaves(first, params), params)
     # As in the stream, the trees so far are a written table.
-    return first, second, write_table(old, shared_dir(spark))
+    return first, second, write_table(old, D.work_folder(spark))
 
 
 def _grown(spark: SparkSession, sf_dir: str, params: Params) -> tuple[DataFrame, DataFrame]:
@@ -230,13 +230,13 @@ def q_cells_to_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_split_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     both, grown = _grown(spark, sf_dir, D.ONE)
-    return cells.split_cells(write_table(grown, shared_dir(spark)), both, D.ONE)
+    return cells.split_cells(write_table(grown, D.work_folder(spark)), both, D.ONE)
 
 
 def q_trim_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = grids.code_points(D.events(spark, sf_dir, HALF_DAYS), D.ONE)
     old = cells.build_cells(codes.code_leaves(codes.code_counts(coded), D.ONE), D.ONE)
-    old = write_table(old, shared_dir(spark))
+    old = write_table(old, D.work_folder(spark))
     leaving = codes.code_counts(coded.where(F.col("batch_id") == 0)).withColumn("n", -F.col("n"))
     located = codes.locate(leaving, cells.leaf_cells(old), D.ONE)
     return cells.trim_cells(cells.apply_deltas(old, cells.path_deltas(located)), D.ONE)
@@ -289,6 +289,7 @@ def _box(params: Params, alpha: int) -> Params:
 def q_frontier_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = _box(D.ONE, 2)
     moments = score.frontier_moments(_trees(spark, sf_dir, params)[2], params)
+    moments = moments.drop("s3_high", "s3_low")
     return moments.withColumns({c: F.col(c).cast("long") for c in ("s2", "s3")})
 
 
@@ -306,7 +307,7 @@ def q_score_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(points: DataFrame, params: Params) -> DataFrame:
-    scored = detect(points, params, shared_dir(points.sparkSession)).points
+    scored = detect(points, params, D.work_folder(points.sparkSession)).points
     return scored.select(
         "point_id", "tree", "node_id", _six(F.col("distance"), "distance"), _six(F.col("score"), "score")
     )
@@ -356,7 +357,7 @@ def q_batch_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _replayed(spark: SparkSession, sf_dir: str, mode: str, **changes) -> str:
     raw = D.raw_events(spark, sf_dir, REPLAY_DAYS)
     params = replace(D.ONE, **{"window_size": raw.count() // WINDOW_SHARE} | changes)
-    path = shared_dir(spark)
+    path = D.work_folder(spark)
     replay(raw, [0, 1, 2, 3, 4], path, params, StreamOptions(clock="event", mode=mode))
     return path
 
@@ -385,13 +386,13 @@ def q_replay_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = shared_dir(spark)
+    source = D.work_folder(spark)
     lines = _lines(D.raw_events(spark, sf_dir, REPLAY_DAYS))
     for number in range(5):
         part = lines.where(F.col("batch_id") == number).select("value")
         # One file is one micro-batch of the stream.
         part.coalesce(1).write.mode("append").text(source)
-    path = shared_dir(spark)
+    path = D.work_folder(spark)
     stream = run_stream(stream_points(spark, source), path, D.ONE, available_now=True)
     stream.awaitTermination()
     return read_scores(spark, path, 4).select("batch_id", "x", "y", "node_id", _six(F.col("score"), "score"))

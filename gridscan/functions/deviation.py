@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 WIDE = "decimal(38,0)"
 COUNT = "decimal(19,0)"
 
-# Path counts up to this fit 64-bit arithmetic in the truncating form.
+# Path counts up to this fit 64-bit arithmetic, which gives the same numbers as decimals.
 LONG_BELOW = 50_000_000
-# Beyond this variance, truncation is smaller than the rounding of doubles.
-REAL_ABOVE = 1e13
+# Cubes are summed as multiples of this and a rest.
+CUBE_UNIT = 10**18
 
 
 def path_score(path: Column, exact: bool = False) -> Column:
@@ -80,11 +80,7 @@ def _path_score_of(s: Column, exact: bool) -> Column:
         # s2 equals the root count only where both are small enough to be exact.
         value = F.when(s["real_s2"] == s["root"], 0.0).otherwise(real)
     else:
-        value = (
-            F.when(largest <= LONG_BELOW, truncated("bigint"))
-            .when(real_variance(real_mean) > REAL_ABOVE, real)
-            .otherwise(truncated(WIDE))
-        )
+        value = F.when(largest <= LONG_BELOW, truncated("bigint")).otherwise(truncated(WIDE))
     return F.when((F.size(counts) == 0) | (s["s1"] == 0), 0.0).otherwise(value)
 
 
@@ -123,36 +119,57 @@ def _square_of_ratio(s2: Column, s1: Column, kind: str) -> Column:
     return ((q * q).cast(kind) + a + carry).cast(kind)
 
 
-# Below this count, n * s3 and s2^2 fit 38 digits (both are at most n^4).
-EXACT_SPREAD_BELOW = 2_000_000_000
+def cube_sums(count: Column) -> list[Column]:
+    """Aggregates ``s3_high`` and ``s3_low``: the sum of cubes is s3_high * CUBE_UNIT + s3_low."""
+    square = (count * count).cast(WIDE)
+    low = (square % F.lit(CUBE_UNIT)).cast(WIDE)
+    high = F.call_function("div", square, F.lit(CUBE_UNIT)).cast(COUNT)
+    return [
+        F.sum((high * count).cast(WIDE)).cast(WIDE).alias("s3_high"),
+        F.sum((low.cast(COUNT) * count).cast(WIDE)).cast(WIDE).alias("s3_low"),
+    ]
 
 
-def mdef_norm(n_sampling: Column, s2: Column, s3: Column, n_counting: Column) -> Column:
+def whole_cubes(high: Column, low: Column) -> Column:
+    """The sum of cubes, NULL where 38 digits do not hold it."""
+    return F.try_add(F.try_multiply(high, F.lit(CUBE_UNIT).cast(COUNT)), low).cast(WIDE)
+
+
+def mdef_norm(
+    n_sampling: Column, s2: Column, s3: Column, n_counting: Column, s3_high: Column | int = 0
+) -> Column:
     """Deviation of a counting cell inside a sampling cell.
 
-    ``s2``/``s3`` are decimal sums of squares and cubes of the frontier counts below the
-    sampling cell; their 38 digits hold windows of up to about 4 * 10^12 points.
+    ``s2`` and s3_high * CUBE_UNIT + ``s3`` are sums of squares and cubes of the frontier
+    counts below the sampling cell. One form for all sizes, up to 10^15 points.
     """
     n, q = n_sampling.cast("double"), s2.cast("double")
-    count = n_sampling.cast(COUNT)
-    small = F.sqrt((count * s3 - s2 * s2).cast("double")) / n
-    spread = F.when(n_sampling < EXACT_SPREAD_BELOW, small).otherwise(_large_spread(count, s2, s3))
+    high = F.lit(s3_high) if isinstance(s3_high, int) else s3_high
+    spread = _spread(n_sampling.cast(COUNT), s2, high.cast(WIDE), s3)
     score = F.when(spread > 0, (q / n - n_counting.cast("double")) / spread).otherwise(0.0)
     return F.when(n_sampling == s2, 0.0).otherwise(score)
 
 
-def _large_spread(n: Column, s2: Column, s3: Column) -> Column:
+def _spread(n: Column, s2: Column, s3_high: Column, s3_low: Column) -> Column:
     """sqrt(s3/n - (s2/n)^2) with the large whole parts subtracted exactly.
 
     With s3 = q*n + r and s2 = p*n + t, the variance is
     (q - p^2) + (r - 2*p*t)/n - (t/n)^2.
     """
-    real = n.cast("double")
-    r, t = (s3 % n).cast(WIDE), (s2 % n).cast(WIDE)
-    q, p = ((s3 - r) / n).cast(WIDE), ((s2 - t) / n).cast(WIDE)
+    real, unit = n.cast("double"), F.lit(CUBE_UNIT).cast(COUNT)
+    a, h = _quotient(s3_high, n)
+    b, r = _quotient((h * unit + s3_low).cast(WIDE), n)
+    q = (a * unit + b).cast(WIDE)
+    p, t = _quotient(s2, n)
     variance = (
         (q - p * p).cast("double")
         + (r - p * t * 2).cast("double") / real
         - (t.cast("double") / real) * (t.cast("double") / real)
     )
     return F.sqrt(F.greatest(variance, F.lit(0.0)))
+
+
+def _quotient(a: Column, n: Column) -> tuple[Column, Column]:
+    """Whole quotient and rest of decimals."""
+    rest = (a % n).cast(WIDE)
+    return ((a - rest) / n).cast(WIDE), rest

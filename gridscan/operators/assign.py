@@ -9,7 +9,7 @@ from gridscan.config import Params
 from gridscan.functions import geometry as G
 from gridscan.operators.grids import add_offsets
 
-HOT_SHARE = 1 << 16  # a code is hot above 1/65,536 of all points ...
+HOT_SHARE = 1 << 16  # a code is hot above trees/65,536 of all points ...
 HOT_ROWS = 100_000  # ... and above this many points
 
 OUTSIDE_ID = "-1"  # fixed value: id of points outside the domain
@@ -18,10 +18,11 @@ OUTSIDE_ID = "-1"  # fixed value: id of points outside the domain
 def hot_codes(codes: DataFrame) -> DataFrame:
     """Codes with very many points and the number of parts to split each into.
 
-    At most ``HOT_SHARE`` rows per tree by construction, so the result may be broadcast.
+    Fewer than ``HOT_SHARE`` rows over all trees by construction, so the result may be broadcast.
     """
     totals = codes.groupBy("tree").agg(F.sum("n").alias("total"))
-    quota = F.greatest(F.col("total") / HOT_SHARE, F.lit(float(HOT_ROWS)))
+    totals = totals.crossJoin(F.broadcast(totals.agg(F.count(F.lit(1)).alias("trees"))))  # a row per tree
+    quota = F.greatest(F.col("total") * F.col("trees") / HOT_SHARE, F.lit(float(HOT_ROWS)))
     return (
         codes.join(F.broadcast(totals), "tree")
         .where(F.col("n") > quota)

@@ -18,6 +18,7 @@ from gridscan.operators.grids import add_offsets
 from gridscan.operators.paths import along_path, path_counts
 
 POINT = ["point_id", "batch_id", "ts", "x", "y"]
+KEY = ["batch_id", "point_id", "x", "y"]  # unique in a deduplicated batch, whatever the ids are
 SCORED = [*POINT, "tree", "node_id", "distance", "score"]
 
 
@@ -31,6 +32,9 @@ def score_path(cells: DataFrame, params: Params) -> DataFrame:
 def frontier_moments(cells: DataFrame, params: Params) -> DataFrame:
     """Count, square and cube sums of every frontier: (tree, sampling_level, cell, counting_level).
 
+    Cubes are summed in two parts, which hold windows of up to 10^15 points; ``s3`` is their
+    sum, or NULL where it has more than 38 digits.
+
     The frontier of a sampling cell at a counting level, up to alpha levels below, holds the
     cells under it at that level and the leaves above it. Each cell adds itself to the
     frontiers of its nearest ancestors; a leaf stands in for its missing descendants.
@@ -53,8 +57,9 @@ def frontier_moments(cells: DataFrame, params: Params) -> DataFrame:
         .agg(
             F.sum("n").alias("n"),
             F.sum((count * count).cast(deviation.WIDE)).alias("s2"),
-            F.sum((count * count * count).cast(deviation.WIDE)).alias("s3"),
+            *deviation.cube_sums(count),
         )
+        .withColumn("s3", deviation.whole_cubes(F.col("s3_high"), F.col("s3_low")))
     )
 
 
@@ -83,7 +88,8 @@ def pair_scores(cells: DataFrame, moments: DataFrame, params: Params) -> DataFra
         F.col("counting_level").alias("level"),
         F.col("n").alias("n_sampling"),
         "s2",
-        "s3",
+        "s3_high",
+        "s3_low",
     )
     # At most 4^alpha counting cells share a frontier, so no join key is hot.
     return nodes.join(sums, ["tree", "sampling_level", "sampling_cell", "level"]).select(
@@ -92,7 +98,9 @@ def pair_scores(cells: DataFrame, moments: DataFrame, params: Params) -> DataFra
         "is_leaf",
         "sampling_level",
         "sampling_cell",
-        deviation.mdef_norm(F.col("n_sampling"), F.col("s2"), F.col("s3"), F.col("n")).alias("score"),
+        deviation.mdef_norm(
+            F.col("n_sampling"), F.col("s2"), F.col("s3_low"), F.col("n"), F.col("s3_high")
+        ).alias("score"),
     )
 
 
@@ -153,7 +161,7 @@ def score_codes(leaves_by_code: DataFrame, leaf_scores: DataFrame, params: Param
 def nearest_grid(located: DataFrame, level: int, params: Params) -> DataFrame:
     """For each point the tree whose deepest cell at or above ``level`` has the nearest centre.
 
-    Ties go to the lowest tree.
+    Ties go to the lowest tree. Points of a batch are told apart by id and coordinates.
     """
     node_level = F.least(F.col("leaf_level"), F.lit(level))
     candidate = F.struct(
@@ -163,9 +171,9 @@ def nearest_grid(located: DataFrame, level: int, params: Params) -> DataFrame:
         G.cell_at(F.col("leaf_cell"), F.col("leaf_level"), node_level).alias("node_cell"),
     )
     return (
-        located.groupBy("batch_id", "point_id")
+        located.groupBy(*KEY)
         .agg(F.min(candidate).alias("best"))
-        .select("batch_id", "point_id", "best.*")
+        .select(*KEY, "best.*")
     )
 
 
@@ -177,9 +185,9 @@ def score_points(scored: DataFrame, params: Params) -> DataFrame:
     """
     if params.trees == 1:
         return scored.select(*SCORED)
-    best = F.min(F.struct("distance", "tree", "score", "node_id", "ts", "x", "y")).alias("best")
-    return scored.groupBy("batch_id", "point_id").agg(best).select(
-        *[F.col(c) if c in ("batch_id", "point_id") else F.col("best")[c].alias(c) for c in SCORED]
+    best = F.min(F.struct("distance", "tree", "score", "node_id", "ts")).alias("best")
+    return scored.groupBy(*KEY).agg(best).select(
+        *[F.col(c) if c in KEY else F.col("best")[c].alias(c) for c in SCORED]
     )
 
 
@@ -223,14 +231,14 @@ def score_points_box(located: DataFrame, params: Params) -> DataFrame:
         F.sequence(F.lit(0), F.col("leaf_level")), lambda level: leaf_distance(level, params)
     )
     tree = F.struct("tree", "leaf_level", distances.alias("distances"), "profile")
-    best = F.min(F.struct("distance", "tree", "node_id", "ts", "x", "y")).alias("best")
+    best = F.min(F.struct("distance", "tree", "node_id", "ts")).alias("best")
     grouped = (
         located.withColumn("_tree", tree)
-        .groupBy("batch_id", "point_id")
+        .groupBy(*KEY)
         .agg(best, F.collect_list("_tree").alias("trees"))
         .withColumn("score", _box_over_grids(F.col("trees"), params))
     )
-    outside = ("batch_id", "point_id", "score")
+    outside = (*KEY, "score")
     return grouped.select(
         *[F.col(c) if c in outside else F.col("best")[c].alias(c) for c in SCORED]
     )

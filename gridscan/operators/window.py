@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
 RANK_LIMIT = 100_000  # rows that one task may rank
+FIRST = -(1 << 62)  # stands for a NULL time or id, which is older than all others
 
 
 @dataclass(frozen=True)
@@ -25,8 +26,12 @@ class Cut:
     point_id: int
 
     def kept(self) -> Column:
+        """True for points of the window, false or NULL for others."""
+        last = F.coalesce(F.col("point_id"), F.lit(FIRST)) >= self.point_id
+        if self.ts_us == FIRST:
+            return F.col("ts").isNotNull() | last
         ts, edge = F.col("ts").cast("timestamp"), F.timestamp_micros(F.lit(self.ts_us))
-        newer = (ts > edge) | ((ts == edge) & (F.col("point_id") >= self.point_id))
+        newer = (ts > edge) | ((ts == edge) & last)
         # The first conjunct is implied by the second; it is the part a scan can push down.
         return (ts >= edge) & newer
 
@@ -59,9 +64,12 @@ def _narrow(rows: DataFrame, key: str, rank: int) -> tuple[DataFrame, int, int,
 def newest_cut(points: DataFrame, size: int) -> Cut | None:
     """Key of the ``size``-th newest point by (ts, point_id); None if all points fit.
 
-    Needs a unique (ts, point_id). Runs a few aggregations that each return one row.
+    Needs a unique (ts, point_id); NULLs come before all values. Runs a few aggregations that each return one row.
     """
-    keys = points.select(_micros().alias("us"), "point_id")
+    null = F.lit(FIRST)
+    keys = points.select(
+        F.coalesce(_micros(), null).alias("us"), F.coalesce("point_id", null).alias("point_id")
+    )
     if keys.count() <= size:
         return None
     rows, rank, total, single = _narrow(keys, "us", size)
@@ -73,7 +81,7 @@ def newest_cut(points: DataFrame, size: int) -> Cut | None:
 
 
 def window_count(points: DataFrame, size: int, cut: Cut | None = None) -> DataFrame:
-    """The newest ``size`` points by (ts, point_id)."""
+    """The newest ``size`` points by (ts, point_id); a NULL is older than any value."""
     cut = cut or newest_cut(points, size)
     return points if cut is None else points.where(cut.kept())
 
@@ -81,7 +89,7 @@ def window_count(points: DataFrame, size: int, cut: Cut | None = None) -> DataFr
 def expired_count(points: DataFrame, size: int, cut: Cut | None = None) -> DataFrame:
     """The points that ``window_count`` drops."""
     cut = cut or newest_cut(points, size)
-    return points.where(F.lit(False)) if cut is None else points.where(~cut.kept())
+    return points.where(F.lit(False)) if cut is None else points.where(~F.coalesce(cut.kept(), F.lit(False)))
 
 
 def _fresh(now: Column, seconds: int) -> Column:
@@ -91,10 +99,10 @@ def _fresh(now: Column, seconds: int) -> Column:
 
 
 def window_time(points: DataFrame, now: Column, seconds: int) -> DataFrame:
-    """Points less than ``seconds`` away from ``now``."""
+    """Points less than ``seconds`` away from ``now``; without a time they have expired."""
     return points.where(_fresh(now, seconds))
 
 
 def expired_time(points: DataFrame, now: Column, seconds: int) -> DataFrame:
     """The points that ``window_time`` drops."""
-    return points.where(~_fresh(now, seconds))
+    return points.where(~F.coalesce(_fresh(now, seconds), F.lit(False)))

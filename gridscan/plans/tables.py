@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,16 +10,10 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the session's checkpoint folder.
-
-    In local mode, where any folder is shared, an unset checkpoint folder falls back to a
-    temporary one; on a cluster it has to be set.
-    """
+    """A new folder under the session's checkpoint folder, which has to be set."""
     base = spark.conf.get(CHECKPOINT_CONF, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="gridscan-")
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
     return f"{base.rstrip('/')}/gridscan-{uuid.uuid4().hex}"
 
 

@@ -49,15 +49,18 @@ def with_ids(points: DataFrame) -> DataFrame:
     return points.withColumn("point_id", number)
 
 
-def stream_points(spark: SparkSession, path: str, on_error: str = "fail") -> DataFrame:
-    """Stream the files of a folder, one file per micro-batch, in order of arrival.
+def stream_points(
+    spark: SparkSession, path: str, on_error: str = "fail", files_per_batch: int | None = 1
+) -> DataFrame:
+    """Stream the files of a folder, so many per micro-batch (None: all that wait), in order of arrival.
 
     ``point_id`` stays NULL until the micro-batch is processed; files without a number in
     their name have a NULL ``batch_id``.
     """
-    lines = (
-        spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(path)
-    )
+    reader = spark.readStream.format("text").option("recursiveFileLookup", "true")
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    lines = reader.load(path)
     return _from_lines(lines.select("value", F.col("_metadata.file_path").alias("file")), on_error)
 
 

@@ -43,12 +43,13 @@ class StreamOptions:
     ``clock``: 'arrival' stamps each batch once; 'event' keeps the column ``ts`` and needs a
     unique ``point_id``. ``mode``: 'recompute' builds the trees from the window, 'incremental'
     updates the cells of the batch before. ``scope``: score the whole window after each
-    batch, or only the batch's own points.
+    batch, or only the batch's own points. ``trigger_seconds``: how often a stream looks for files.
     """
 
     clock: str = "arrival"
     mode: str = "recompute"
     scope: str = "window"
+    trigger_seconds: float = DEFAULT_TRIGGER_SECONDS
 
     def __post_init__(self) -> None:
         if self.clock not in CLOCKS or self.mode not in MODES or self.scope not in SCOPES:
@@ -192,7 +193,7 @@ def run_stream(
     )
     if available_now:
         return writer.trigger(availableNow=True).start()
-    return writer.trigger(processingTime=f"{DEFAULT_TRIGGER_SECONDS} seconds").start()
+    return writer.trigger(processingTime=f"{options.trigger_seconds} seconds").start()
 
 
 def replay(

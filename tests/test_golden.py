@@ -2,6 +2,7 @@
 
 import math
 from datetime import datetime, timedelta
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,9 +189,11 @@ def test_bad_domain():
 
 def test_grids_are_reproducible(spark):
     params = Params(trees=3, seed=5)
-    first = [tuple(r) for r in grids.make_grids(spark, params).orderBy("tree").collect()]
-    assert first == [tuple(r) for r in grids.make_grids(spark, params).orderBy("tree").collect()]
-    assert first[0] == (0, 0.0, 0.0) and all(0 <= sx < 180 and 0 <= sy < 360 for _, sx, sy in first)
+    first = params.shifts()
+    assert first == params.shifts() == Params(trees=3, seed=5).shifts() != Params(trees=3, seed=6).shifts()
+    assert first[0] == (0.0, 0.0) and all(0 <= sx < 180 and 0 <= sy < 360 for sx, sy in first)
+    shifted = grids.shift_points(points(spark, [(0, 0, 0, -90, -180)]), params).orderBy("tree").collect()
+    assert [(r.u, r.v) for r in shifted] == [pytest.approx((sx, sy)) for sx, sy in first]
 
 
 def test_empty_window_has_roots(spark):
@@ -200,3 +203,52 @@ def test_empty_window_has_roots(spark):
     assert sorted((r.tree, r.level, r.n, r.is_leaf) for r in tree.collect()) == [(t, 0, 0, True) for t in range(3)]
     assert report.avg_nodes(tree, params).first()[0] == 1.0
     assert [r.path_counts for r in path_counts(tree, params).collect()] == [[0]] * 3
+
+
+@pytest.mark.parametrize("n", [10**5, 5 * 10**7 - 1, 5 * 10**7, 5 * 10**7 + 1, 10**9, 10**12, 10**15])
+def test_path_score_is_one_form_at_every_size(spark, n):
+    paths = [[n, n // 2, n // 3, 5], [n, n - n // 10, n - n // 5, n - n // 4], [n] * 4, [2 * n, n, n // 7, n // 7, 1]]
+    df = spark.createDataFrame([(p,) for p in paths], "path array<bigint>")
+    got = [r[0] for r in df.select(deviation.path_score(F.col("path"))).collect()]
+    for value, path in zip(got, paths):
+        assert value == pytest.approx(model.path_score(path), rel=1e-12, abs=1e-12), path
+
+
+@pytest.mark.parametrize("unit", [1, 10**3, 10**7, 10**11, 10**13])
+def test_frontier_spread_at_every_size(spark, unit):
+    """Moments from counts, in the parts that hold them, against exact fractions."""
+    for counts, own in (([30, 25, 5, 1, 0, 20, 19], 1), ([7] * 10, 7), ([3, 3, 3, 4], 2)):
+        counts, own = [c * unit + (c % 2) * (unit > 1) for c in counts], own * unit
+        df = spark.createDataFrame([(c,) for c in counts], "c long")
+        c = F.col("c").cast(deviation.COUNT)
+        s2 = F.sum((c * c).cast(deviation.WIDE)).cast(deviation.WIDE).alias("s2")
+        sums = df.agg(F.sum("c").alias("n"), s2, *deviation.cube_sums(c))
+        score_ = deviation.mdef_norm(F.col("n"), F.col("s2"), F.col("s3_low"), F.lit(own), F.col("s3_high"))
+        got, whole = sums.select(score_, deviation.whole_cubes(F.col("s3_high"), F.col("s3_low"))).first()
+        n, q, k = (sum(x**e for x in counts) for e in (1, 2, 3))
+        assert whole is None and k >= 10**38 or int(whole) == k
+        variance = Fraction(k, n) - Fraction(q, n) ** 2
+        want = float(Fraction(q, n) - own) / math.sqrt(variance) if variance > 0 else 0.0
+        assert got == (pytest.approx(want, rel=1e-9) if variance else 0.0)
+
+
+@pytest.mark.parametrize("scorer", ["path", "box"])
+def test_points_with_one_id_stay_apart(spark, scorer):
+    rows = [(1, 0, 0, i * 7 % 80, i * 11 % 150) for i in range(20)]
+    params = Params(trees=2, seed=1, neighborhood_size=3, max_depth=8, scorer=scorer)
+    found = detect(points(spark, rows), params).points.collect()
+    assert len({(r.x, r.y) for r in found}) == len(found) == 20
+
+
+def test_windows_with_null_times_keep_and_expire_all(spark):
+    rows = [(i, 0, i % 3, 0, 0) for i in range(12)]
+    df = points(spark, rows).withColumn("ts", F.when(F.col("point_id") % 4 != 0, F.col("ts")))
+    for size in (1, 4, 9, 10, 11, 12, 50):
+        kept = {r.point_id for r in window.window_count(df, size).collect()}
+        gone = {r.point_id for r in window.expired_count(df, size).collect()}
+        order = sorted(rows, key=lambda r: (r[0] % 4 != 0, r[2] if r[0] % 4 else 0, r[0]), reverse=True)
+        assert kept == {r[0] for r in order[:size]} and gone == {r[0] for r in order[size:]}
+    now = F.lit(START + timedelta(seconds=2)).cast("timestamp")
+    kept = {r.point_id for r in window.window_time(df, now, 2).collect()}
+    gone = {r.point_id for r in window.expired_time(df, now, 2).collect()}
+    assert kept == {r[0] for r in rows if r[0] % 4 and r[2] > 0} and kept | gone == set(range(12)) and not kept & gone
