@@ -114,7 +114,8 @@ def _runs(held: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray,
     offset = np.array([o for _, o, _ in held])[which] - starts[which]
     index = np.array([i for i, _, _ in held])[which]
     place = anchor[first]
-    return key[place], index, at[first] + offset, at[last] + offset, place + offset
+    # Smallest hashes crowd at the low end: they are spread again, as blocks are dealt by ranges.
+    return mix(key[place]), index, at[first] + offset, at[last] + offset, place + offset
 
 
 def _bytes_of(text: str | None) -> bytes:
