@@ -93,8 +93,9 @@ def _joined_hashes(children: list[Column]) -> Column:
 
 
 def pivot(nodes: DataFrame, level: int) -> DataFrame:
-    """Parents of the nodes of a level, with ``hash`` and the slots, one column per child, as ``below``.
+    """Parents of the nodes of a level, with ``hash`` and, as ``below``, their slots in order.
 
+    A slot is a column while its children are gathered and an element afterwards, so that types stay small.
     A tree with a single node at this level is finished; the node stands for itself above.
     """
     slot = F.col("place") % FANOUT
@@ -103,12 +104,12 @@ def pivot(nodes: DataFrame, level: int) -> DataFrame:
     parents = nodes.groupBy(*GROUP, "block", "total", _div(F.col("place"), FANOUT).alias("place")).agg(*spread)
     whole = sha256(_joined_hashes([F.col(c) for c in _slots()]))
     own = F.when(_nodes_at(F.col("total"), level) > 1, whole).otherwise(F.col("slot0.hash"))
-    return parents.select(*GROUP, "block", "total", "place", own.alias("hash"), F.struct(*_slots()).alias("below"))
+    return parents.select(*GROUP, "block", "total", "place", own.alias("hash"), F.array(*_slots()).alias("below"))
 
 
 def spread_out(parents: DataFrame, level: int, kept: tuple[str, ...]) -> DataFrame:
     """The nodes of a level with their paths, from the pivoted parents with theirs."""
-    slots = [F.col("below")[name] for name in _slots()]
+    slots = [F.get("below", k) for k in range(FANOUT)]
 
     def child(k: int) -> Column:
         step = F.struct(_joined_hashes(slots[:k]).alias("before"), _joined_hashes(slots[k + 1 :]).alias("after"))
