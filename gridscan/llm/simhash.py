@@ -246,7 +246,11 @@ def _near(a: Column, b: Column, distance: int) -> Column:
 
 
 def forest(a: np.ndarray, b: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links between the members of two blocks, as many as it takes to connect all that are linked."""
+    """Links between the members of two blocks, as many as it takes to connect all that are linked.
+
+    The members are signed 64-bit numbers; bits are counted on unsigned ones.
+    """
+    bits = b.view(np.uint64)
     up: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -258,7 +262,7 @@ def forest(a: np.ndarray, b: np.ndarray, distance: int) -> list[tuple[int, int]]
     out = []
     for x in a:
         own = int(x)
-        for y in b[np.bitwise_count(b ^ x) <= distance].tolist():
+        for y in b[np.bitwise_count(bits ^ x.view(np.uint64)) <= distance].tolist():
             p, q = root(own), root(y)
             if p != q:
                 up[p] = q
