@@ -26,6 +26,9 @@ ONE = Params(max_depth=DEPTH, domain=EVENTS_DOMAIN)
 FOUR = Params(max_depth=DEPTH, domain=EVENTS_DOMAIN, trees=4, grids=SHIFTS)
 NARROW = Params(max_depth=DEPTH, domain=NARROW_DOMAIN)
 LINEITEM = Params(max_depth=DEPTH, domain=LINEITEM_DOMAIN)
+LINEITEM_SHIFTS = ((0.0, 0.0), (21.7, 15837.3), (37.9, 82011.1), (10.3, 51444.4))
+LINEITEM_FOUR = Params(max_depth=DEPTH, domain=LINEITEM_DOMAIN, trees=4, grids=LINEITEM_SHIFTS)
+DRAWN = Params(max_depth=DEPTH, domain=EVENTS_DOMAIN, trees=6, seed=7)
 EMBEDDING = Params(max_depth=DEPTH, domain=EMBEDDING_DOMAIN, neighborhood_size=10)
 
 FIRST_DAY = "2024-01-01"

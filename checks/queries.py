@@ -18,7 +18,8 @@ from gridscan.plans.detect import detect
 from gridscan.plans.tables import write_table
 from gridscan.sources.points import parse_points, read_points_text, stream_points
 from gridscan.sources.sinks import read_metrics, read_scores
-from gridscan.streaming.run import StreamOptions, replay, run_stream
+from gridscan.streaming.run import StreamOptions, next_manifest, replay, run_folders, run_stream
+from gridscan.streaming.state import Manifest, WindowState
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,7 +52,7 @@ def _trees(spark: SparkSession, sf_dir: str, params: Params) -> tuple[DataFrame,
 
 def _located(spark: SparkSession, sf_dir: str, params: Params) -> DataFrame:
     coded, by_code, _ = _trees(spark, sf_dir, params)
-    return assign.assign_leaf(coded, by_code, assign.hot_codes(codes.code_counts(coded)), params)
+    return assign.assign_leaf(coded, by_code, assign.hot_codes(codes.code_counts(coded), params.trees), params)
 
 
 # Sources and single-batch steps
@@ -98,6 +99,12 @@ def q_shift_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_shift_points_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grids.shift_points(D.events(spark, sf_dir), D.DRAWN).select(
+        "point_id", "tree", _six(F.col("u"), "u"), _six(F.col("v"), "v")
+    )
+
+
 def q_in_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.events(spark, sf_dir).select(
         "point_id", G.in_domain(F.col("x"), F.col("y"), D.NARROW_DOMAIN).alias("in_domain")
@@ -169,6 +176,26 @@ def q_window_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _times(window.window_count(points, _window_size(points)))
 
 
+def q_window_count_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = D.events(spark, sf_dir, 1)
+    points = points.withColumn("ts", F.when(F.col("point_id") % 7 != 0, F.col("ts")))
+    # The window ends among the points without a time.
+    return _times(window.window_count(points, points.count() * 9 // 10))
+
+
+def q_window_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = D.events(spark, sf_dir, 1)
+    params = replace(D.ONE, window_size=_window_size(points))
+    state, manifest = WindowState(spark, D.work_folder(spark)), Manifest()
+    days = [r["batch_id"] for r in points.select("batch_id").distinct().orderBy("batch_id").collect()]
+    for day in days:
+        came = state.write_points(points.where(F.col("batch_id") == day), f"b={day}")
+        manifest = next_manifest(state, manifest, came, params, StreamOptions(clock="event"))
+        merged = state.compact_points(manifest.points, manifest.cut, day, params.window_size)
+        manifest = replace(manifest, points=merged)
+    return _times(state.window(manifest))
+
+
 def q_expired_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = D.events(spark, sf_dir, 1)
     return _times(window.expired_count(points, _window_size(points)))
@@ -329,6 +356,10 @@ def q_score_points_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(D.lineitem(spark, sf_dir), D.LINEITEM)
 
 
+def q_score_points_lineitem_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(D.lineitem(spark, sf_dir), D.LINEITEM_FOUR)
+
+
 def q_score_points_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(D.embeddings(spark, sf_dir), D.EMBEDDING)
 
@@ -398,5 +429,16 @@ def q_stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_scores(spark, path, 4).select("batch_id", "x", "y", "node_id", _six(F.col("score"), "score"))
 
 
+def q_stream_scores_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, path = D.work_folder(spark), D.work_folder(spark)
+    lines = _lines(D.raw_events(spark, sf_dir, REPLAY_DAYS))
+    for number in range(5):
+        # A folder of several files is one batch.
+        part = lines.where(F.col("batch_id") == number).select("value")
+        part.repartition(3).write.text(f"{source}/batch_{number}")
+    run_folders(spark, source, path, D.ONE, StreamOptions(mode="incremental"))
+    return read_scores(spark, path, 4).select("batch_id", "x", "y", "node_id", _six(F.col("score"), "score"))
+
+
 def all_queries() -> dict[str, Query]:
     return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_")}

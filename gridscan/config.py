@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-import random
 from dataclasses import dataclass, field
 
 # The default workload.
@@ -50,7 +50,7 @@ class Params:
 
     ``window_size`` counts points for a count window and seconds for a time window.
     ``grids`` lists explicit (sx, sy) shifts; without it, tree 0 is unshifted and the
-    other ``trees - 1`` shifts are drawn uniformly from the domain with ``seed``.
+    other ``trees - 1`` shifts are drawn uniformly from the domain by a hash of ``seed`` and tree.
     """
 
     window_type: str = "count"
@@ -91,9 +91,14 @@ class Params:
         """One (sx, sy) per tree, the same on every call."""
         if self.grids is not None:
             return [(float(sx), float(sy)) for sx, sy in self.grids]
-        rng = random.Random(self.seed)
+        d = self.domain
         drawn = [
-            (rng.random() * self.domain.width, rng.random() * self.domain.height)
-            for _ in range(self.trees - 1)
+            (drawn_share(self.seed, tree, "x") * d.width, drawn_share(self.seed, tree, "y") * d.height)
+            for tree in range(1, self.trees)
         ]
         return [(0.0, 0.0), *drawn]
+
+
+def drawn_share(seed: int, tree: int, axis: str) -> float:
+    """A number in [0, 1) that depends on nothing else: the first 52 bits of the MD5 of 'seed:tree:axis'."""
+    return int(hashlib.md5(f"{seed}:{tree}:{axis}".encode()).hexdigest()[:13], 16) / (1 << 52)

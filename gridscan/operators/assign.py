@@ -15,14 +15,13 @@ HOT_ROWS = 100_000  # ... and above this many points
 OUTSIDE_ID = "-1"  # fixed value: id of points outside the domain
 
 
-def hot_codes(codes: DataFrame) -> DataFrame:
+def hot_codes(codes: DataFrame, trees: int) -> DataFrame:
     """Codes with very many points and the number of parts to split each into.
 
-    Fewer than ``HOT_SHARE`` rows over all trees by construction, so the result may be broadcast.
+    Fewer than ``HOT_SHARE`` rows over all ``trees`` by construction, so the result may be broadcast.
     """
     totals = codes.groupBy("tree").agg(F.sum("n").alias("total"))
-    totals = totals.crossJoin(F.broadcast(totals.agg(F.count(F.lit(1)).alias("trees"))))  # a row per tree
-    quota = F.greatest(F.col("total") * F.col("trees") / HOT_SHARE, F.lit(float(HOT_ROWS)))
+    quota = F.greatest(F.col("total") * trees / HOT_SHARE, F.lit(float(HOT_ROWS)))
     return (
         codes.join(F.broadcast(totals), "tree")
         .where(F.col("n") > quota)

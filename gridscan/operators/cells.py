@@ -12,7 +12,7 @@ from pyspark.sql import Window
 
 from gridscan.config import Params
 from gridscan.functions import geometry as G
-from gridscan.operators.codes import code_leaves, levels_between, locate
+from gridscan.operators.codes import code_leaves, levels_between
 
 NODE = ["tree", "level", "cell"]
 
@@ -120,17 +120,27 @@ def cells_to_split(cells: DataFrame, params: Params) -> DataFrame:
     return cells.where(F.col("is_leaf") & _is_internal(params))
 
 
+def codes_inside(codes: DataFrame, cells: DataFrame, params: Params) -> DataFrame:
+    """Codes that lie in one of the cells, which do not overlap, with its level as ``old_level``.
+
+    Each code is looked up at every level that a cell has, by an equi-join that needs no other cells.
+    """
+    levels = sorted(r["level"] for r in cells.select("level").distinct().collect())  # at most MAX_DEPTH + 1
+    at = F.explode(F.lit(levels).cast("array<int>")).alias("old_level")
+    inner = cells.select("tree", F.col("level").alias("old_level"), F.col("cell").alias("old_cell"))
+    keyed = codes.select("tree", "code", "n", at).withColumn(
+        "old_cell", G.cell_at(F.col("code"), params.max_depth, F.col("old_level"))
+    )
+    return keyed.join(inner, ["tree", "old_level", "old_cell"]).drop("old_cell")
+
+
 def split_cells(cells: DataFrame, codes: DataFrame, params: Params) -> DataFrame:
     """Divide over-full leaves down to their final depth in one step.
 
-    ``codes`` are all codes of the window. Those inside over-full leaves are picked while
-    their leaf is looked up, and only they are counted again, below their old leaf.
+    ``codes`` are the codes of the window, or at least those inside over-full leaves. Only codes inside such
+    leaves are counted again, below their old leaf.
     """
-    leaves = leaf_cells(cells).withColumn("splits", _is_internal(params))
-    inside = locate(codes, leaves, params, carry=("splits",)).where("splits")
-    regrown = code_leaves(
-        inside.select("tree", "code", "n", F.col("leaf_level").alias("old_level")), params
-    )
+    regrown = code_leaves(codes_inside(codes, cells_to_split(cells, params), params), params)
     new_leaves = regrown.groupBy(
         "tree",
         F.col("leaf_level").alias("level"),

@@ -61,18 +61,15 @@ def _narrow(rows: DataFrame, key: str, rank: int) -> tuple[DataFrame, int, int,
     return rows, rank, total, low == high
 
 
-def newest_cut(points: DataFrame, size: int) -> Cut | None:
-    """Key of the ``size``-th newest point by (ts, point_id); None if all points fit.
-
-    Needs a unique (ts, point_id); NULLs come before all values. Runs a few aggregations that each return one row.
-    """
+def key_rows(points: DataFrame) -> DataFrame:
+    """The keys (us, point_id) of points; NULLs come before all values."""
     null = F.lit(FIRST)
-    keys = points.select(
-        F.coalesce(_micros(), null).alias("us"), F.coalesce("point_id", null).alias("point_id")
-    )
-    if keys.count() <= size:
-        return None
-    rows, rank, total, single = _narrow(keys, "us", size)
+    return points.select(F.coalesce(_micros(), null).alias("us"), F.coalesce("point_id", null).alias("point_id"))
+
+
+def cut_at_rank(keys: DataFrame, rank: int) -> Cut:
+    """The key of the ``rank``-th newest of these rows, which are more than that or as many."""
+    rows, rank, total, single = _narrow(keys, "us", rank)
     if total > RANK_LIMIT and single:
         rows, rank, _, _ = _narrow(rows, "point_id", rank)
     order = Window.orderBy(F.col("us").desc(), F.col("point_id").desc())
@@ -80,6 +77,15 @@ def newest_cut(points: DataFrame, size: int) -> Cut | None:
     return Cut(edge["us"], edge["point_id"])
 
 
+def newest_cut(points: DataFrame, size: int) -> Cut | None:
+    """Key of the ``size``-th newest point by (ts, point_id); None if all points fit.
+
+    Needs a unique (ts, point_id). Runs a few aggregations that each return one row.
+    """
+    keys = key_rows(points)
+    return cut_at_rank(keys, size) if keys.count() > size else None
+
+
 def window_count(points: DataFrame, size: int, cut: Cut | None = None) -> DataFrame:
     """The newest ``size`` points by (ts, point_id); a NULL is older than any value."""
     cut = cut or newest_cut(points, size)

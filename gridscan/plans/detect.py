@@ -40,6 +40,6 @@ def detect(points: DataFrame, params: Params, workdir: str | None = None) -> Det
     cells = cut(build_cells(by_code, params), "cells")
     leaf_scores = cut(score_leaves(cells, params), "leaf_scores")
     scored = score_coded(
-        coded, score_codes(by_code, leaf_scores, params), hot_codes(by_code), params
+        coded, score_codes(by_code, leaf_scores, params), hot_codes(by_code, params.trees), params
     )
     return Detection(cells, leaf_scores, scored)

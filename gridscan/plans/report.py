@@ -35,12 +35,19 @@ def describe_cells(cells: DataFrame, params: Params) -> DataFrame:
 
 
 def batch_metrics(
-    window: DataFrame, cells: DataFrame, params: Params, batch_id: Column | int, seconds: Column | int
+    window: DataFrame | int, cells: DataFrame, params: Params, batch_id: Column | int, seconds: Column | int
 ) -> DataFrame:
-    """One row: batch, points in the window, average nodes per tree, whole seconds spent."""
-    size = window.agg(F.count(F.lit(1)).alias("window_count"))
-    # Both sides have exactly one row.
-    return size.crossJoin(F.broadcast(avg_nodes(cells, params))).select(
+    """One row: batch, points in the window, average nodes per tree, whole seconds spent.
+
+    ``window`` is the window or the number of its points.
+    """
+    nodes = avg_nodes(cells, params)
+    if isinstance(window, int):
+        both = nodes.withColumn("window_count", F.lit(window).cast("long"))
+    else:
+        # Both sides have exactly one row.
+        both = window.agg(F.count(F.lit(1)).alias("window_count")).crossJoin(F.broadcast(nodes))
+    return both.select(
         F.lit(batch_id).cast("long").alias("batch_id"),
         "window_count",
         "avg_nodes",

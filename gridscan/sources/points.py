@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridscan.plans import files
+
 POINT_COLUMNS = ["point_id", "batch_id", "ts", "x", "y"]
 # Fixed value: naming of batch files; a batch may also be a folder of part files.
 BATCH_FILE = r"batch_(?:id=)?(\d+)(?:\.txt)?(?:/[^/]*)?$"
@@ -64,6 +68,29 @@ def stream_points(
     return _from_lines(lines.select("value", F.col("_metadata.file_path").alias("file")), on_error)
 
 
+def batch_folders(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Number and name of each complete batch in a folder, by number.
+
+    A batch is a file ``batch_<i>.txt``, or a folder ``batch_<i>`` (also with ``.txt``) that holds a ``_SUCCESS`` file.
+    """
+    found = []
+    for name in files.names(spark, path):
+        if match := re.search(BATCH_FILE, name):
+            inside = f"{path.rstrip('/')}/{name}"
+            if files.exists(spark, f"{inside}/_SUCCESS") or not files.is_folder(spark, inside):
+                found.append((int(match[1]), name))
+    numbers = [number for number, _ in found]
+    if len(set(numbers)) < len(numbers):
+        raise ValueError(f"two batches in {path} have the same number")
+    return sorted(found)
+
+
+def read_batch_folder(spark: SparkSession, path: str, on_error: str = "fail") -> DataFrame:
+    """The points of one batch, a file or a folder of part files."""
+    lines = spark.read.text(path)
+    return with_ids(_from_lines(lines.select("value", F.col("_metadata.file_path").alias("file")), on_error))
+
+
 def _from_lines(lines: DataFrame, on_error: str) -> DataFrame:
     number = F.regexp_extract("file", BATCH_FILE, 1)
     return parse_points(

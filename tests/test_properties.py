@@ -72,7 +72,7 @@ def test_hot_codes_are_split_without_changing_results(spark, monkeypatch):
     monkeypatch.setattr(assign, "HOT_ROWS", 10)
     monkeypatch.setattr(assign, "HOT_SHARE", 30)
     coded = grids.code_points(df, params)
-    hot = assign.hot_codes(codes.code_counts(coded)).collect()
+    hot = assign.hot_codes(codes.code_counts(coded), params.trees).collect()
     assert 1 <= len(hot) <= 30 and max(r.parts for r in hot) >= 10
     assert sorted(map(tuple, detect(df, params).points.drop("ts").collect())) == plain
 
