@@ -82,6 +82,12 @@ def leaf_cells(cells: DataFrame) -> DataFrame:
     return cells.where("is_leaf")
 
 
+def cells_on_paths(cells: DataFrame, codes: DataFrame) -> DataFrame:
+    """The cells on the paths to the leaves of some codes: all that a path score of those leaves needs."""
+    leaves = codes.select("tree", F.col("leaf_level").alias("level"), F.col("leaf_cell").alias("cell"), F.lit(0).alias("n"))
+    return cells.join(ancestor_counts(leaves.distinct()).drop("n"), NODE, "left_semi")
+
+
 def path_deltas(located: DataFrame) -> DataFrame:
     """Count change of each cell from codes with their leaf and signed ``n``."""
     return ancestor_counts(leaf_counts(located))

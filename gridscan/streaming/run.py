@@ -15,6 +15,7 @@ from gridscan.operators.batch import dedup_batch, stamp_batch
 from gridscan.operators.cells import (
     apply_deltas,
     build_cells,
+    cells_on_paths,
     cells_to_split,
     leaf_cells,
     path_deltas,
@@ -212,13 +213,15 @@ def advance_window(
         after, cells = _updated_trees(state, before, after, new, batch_id, params)
         made = {s.name for s in after.codes}
         codes = code_counts(code_points(came, params)) if options.scope == "batch" else state.window_codes(after.codes)
-        by_code = locate(codes, leaf_cells(cells), params)
+        codes = by_code = write_table(locate(codes, leaf_cells(cells), params), f"{version}/codes")
     else:
         made = set()
         codes = by_code = write_table(code_leaves(code_counts(code_points(state.window(after), params)), params), f"{version}/codes")
         cells = write_table(build_cells(by_code, params), f"{version}/cells")
         after = replace(after, cells=f"v={batch_id}/cells")
-    leaf_scores = write_table(score_leaves(cells, params), f"{version}/leaf_scores")
+    # A path score needs no cell off the path; the box score also looks at cells beside it.
+    near = cells_on_paths(cells, by_code) if options.scope == "batch" and params.scorer == "path" else cells
+    leaf_scores = write_table(score_leaves(near, params), f"{version}/leaf_scores")
 
     coded = code_points(came if options.scope == "batch" else state.window(after), params)
     by_score = score_codes(by_code, leaf_scores, params)
