@@ -10,8 +10,9 @@ separate documents except in ``near_duplicates``, which keeps one of them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridscan.llm import jaccard_join, pieces, quality_model, secret_scan, source_mix
 from gridscan.llm.common import ready, table, written
@@ -29,24 +30,38 @@ def _unboxed(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
+def _hashable(value: Column, kind: T.DataType) -> Column:
+    """A column as it is, or as JSON if it holds a map, which has no hash."""
+    return F.to_json(F.struct(value)) if "map<" in kind.simpleString() else value
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the classifier predicts to be of label 1."""
     ready(spark)
     model = quality_model.fit_on_labels(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return _unboxed(quality_model.score(_boxed(docs), model).where("predicted = 1"), docs)
+    # The text is there once: the scores' batches hold it beside the other columns.
+    rest = F.struct(F.lit(0), *(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
+    good = quality_model.score(docs.select("text", rest), model).where("predicted = 1")
+    return good.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group: that of the smallest id, null ids last."""
     ready(spark)
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    fields = [_hashable(F.col(f"`{f.name}`"), f.dataType) for f in docs.schema]
+    # Rows are told apart by 128 bits; rows that agree in them are equal.
     key = F.struct(
-        F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.xxhash64(whole).alias("hash")
+        F.col("doc_id").isNull().alias("unnamed"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
+        F.xxhash64(*fields).alias("hash"),
+        F.xxhash64(F.lit("second"), *fields).alias("other"),
     )
     groups = jaccard_join.similar_groups(docs.select(key.alias("doc_id"), "text"), SIMILAR)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.xxhash64("doc_id").alias("key")).distinct()
-    rows = docs.select(F.xxhash64(key).alias("key"), whole.alias("row"))
-    return _unboxed(rows.join(first, "key", "left_semi").dropDuplicates(["key"]), docs)
+    parts = ["unnamed", "id", "hash", "other"]
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id.*").distinct()
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(key.alias("key"), whole.alias("row")).select("key.*", "row")
+    return _unboxed(rows.join(first, parts, "left_semi").dropDuplicates(parts), docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

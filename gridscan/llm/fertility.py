@@ -2,10 +2,11 @@
 
 A text is cut into tokens of a byte-level vocabulary (a rank file). Three measures follow: characters per
 token, the share of tokens that are parts of characters because no token covers them whole (the vocabulary
-falls back to bytes), and the entropy of the text's tokens in bits. A band names the accepted range of each. Texts with fewer than ``min_tokens`` tokens are not
-judged by bands: measures of a few tokens say nothing.
+falls back to bytes), and the entropy of the text's tokens in bits. The entropy is compared with the most that so
+many tokens could have, so that short and long texts share a band. A band names the accepted range of each measure.
 
-The band is that of the language; without one, that of the script with most letters in the text.
+The band is that of the language; without one, that of the script with most letters in the text. ``fit_bands``
+learns the bands of languages from texts that are known to be good: the range between two outer quantiles, and a margin.
 
 Base counts, over words ``[^\\x20\\x09-\\x0D]+``: words, their code points, symbols, repeated lines and words
 in repeated windows of three. A text fails the base if it has fewer than 50 words or if more than half its
@@ -19,6 +20,8 @@ columns replace input columns of the same name.
 from __future__ import annotations
 
 import base64
+import math
+import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -32,6 +35,8 @@ from pyspark.sql import functions as F
 from gridscan.llm.common import with_fields
 
 SYMBOLS = b"#*$%&|<>"
+# The white space of the splitting pattern.
+LONG_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}")
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 FIELDS = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "chars_per_token",
@@ -54,13 +59,15 @@ class Band:
 
     chars_per_token: tuple[float, float] = (1.5, 8.0)
     byte_share: tuple[float, float] = (0.0, 0.10)
-    token_entropy: tuple[float, float] = (3.5, 15.0)
+    relative_entropy: tuple[float, float] = (0.35, 1.0)
 
     def accepts(self, chars: float, share: float, entropy: float) -> bool:
         return all(
             low <= x <= high
-            for x, (low, high) in ((chars, self.chars_per_token), (share, self.byte_share), (entropy, self.token_entropy))
-        )
+            for x, (low, high) in (
+                (chars, self.chars_per_token), (share, self.byte_share), (entropy, self.relative_entropy)
+            )
+        )
 
 
 def _default_bands() -> dict[str, Band]:
@@ -71,7 +78,6 @@ def _default_bands() -> dict[str, Band]:
 @dataclass(frozen=True)
 class FertilityRules:
     bands: Mapping[str, Band] = field(default_factory=_default_bands)  # by language or script
-    min_tokens: int = 50
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -132,9 +138,29 @@ def load_vocabulary(path: str, pattern: str) -> tuple[tiktoken.Encoding, np.ndar
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), partial
 
 
+def _last_of_run(text: str, end: int) -> int:
+    """Where the piece that a run of white space makes ends: its last character goes with what follows."""
+    return end if end == len(text) else end - 1
+
+
+def encode(text: str, encoding: tiktoken.Encoding) -> list[int]:
+    """The token ids of a text. Long runs of white space, which the splitting pattern cannot take, are encoded apart.
+
+    The pattern makes one piece of a run but for its last character, or of all of it at the end of the text.
+    """
+    ids: list[int] = []
+    start = 0
+    for run in LONG_RUN.finditer(text):
+        end = _last_of_run(text, run.end())
+        ids += encoding.encode_ordinary(text[start : run.start()])
+        ids += encoding._encode_single_piece(text[run.start() : end])
+        start = end
+    return ids + encoding.encode_ordinary(text[start:])
+
+
 def measures(text: str, encoding: tiktoken.Encoding, partial: np.ndarray) -> tuple[int, float, float, float]:
     """tokens, characters per token, byte share, entropy in bits."""
-    ids = np.array(encoding.encode_ordinary(text), dtype=np.int64)
+    ids = np.array(encode(text, encoding), dtype=np.int64)
     n = len(ids)
     if n == 0:
         return 0, 0.0, 0.0, 0.0
@@ -143,6 +169,34 @@ def measures(text: str, encoding: tiktoken.Encoding, partial: np.ndarray) -> tup
     return n, len(text) / n, float(partial[ids].mean()), float(-(p * np.log2(p)).sum()) + 0.0
 
 
+def relative(entropy: float, tokens: int) -> float:
+    """Entropy as a share of the most that so many tokens can have; 1 for a single token."""
+    return entropy / math.log2(tokens) if tokens > 1 else 1.0
+
+
+def fit_bands(
+    df: DataFrame, vocabulary: str, pattern: str, text: str = "text", lang: str = "lang", margin: float = 0.5, least: int = 50
+) -> dict[str, Band]:
+    """Bands per language from good texts that pass the base counts; languages with fewer than ``least`` get none.
+
+    The range from the 1st to the 99th percentile, wider by ``margin`` of itself on either side.
+    """
+    rows = df.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("lang is not null")
+    rows = judge_fertility(rows, vocabulary, pattern, FertilityRules(bands={})).where("not base_failed")
+    shares = F.when(F.col("n_tokens") > 1, F.col("token_entropy") / F.log2("n_tokens")).otherwise(1.0)
+    columns = {"chars_per_token": F.col("chars_per_token"), "byte_share": F.col("byte_share"), "relative_entropy": shares}
+    ends = [F.percentile_approx(c, [0.01, 0.99], 10_000).alias(name) for name, c in columns.items()]
+    known = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *ends).where(F.col("n") >= least)
+    bands = {}
+    for row in known.collect():  # a row per language
+
+        def widened(low: float, high: float) -> tuple[float, float]:
+            return low - margin * (high - low), high + margin * (high - low)
+
+        bands[row["lang"]] = Band(**{name: widened(*row[name]) for name in columns})
+    return bands
+
+
 def judge_fertility(
     df: DataFrame,
     vocabulary: str,
@@ -152,7 +206,7 @@ def judge_fertility(
     lang: str = "lang",
 ) -> DataFrame:
     """df with FIELDS. vocabulary: the path of a rank file that every executor has; pattern: how it splits text."""
-    bands, min_tokens = dict(rules.bands), rules.min_tokens
+    bands = dict(rules.bands)
 
     @F.pandas_udf(SCHEMA)
     def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -164,9 +218,9 @@ def judge_fertility(
                 failed = base[0] < MIN_WORDS or 100 * base[4] > REPEAT_PERCENT * base[0]
                 found = measures(body or "", encoding, partial)
                 kept = not failed
-                if kept and found[0] >= min_tokens:
+                if kept:
                     band = bands.get(language) or bands.get(script_of(body))
-                    kept = band is None or band.accepts(*found[1:])
+                    kept = band is None or band.accepts(*found[1:3], relative(found[3], found[0]))
                 rows.append((*base, *found, failed, kept))
             yield pd.DataFrame(rows, columns=FIELDS)
 

@@ -40,11 +40,12 @@ from gridscan.llm.common import written
 from gridscan.llm.components import components
 from gridscan.llm.packed import U, mix, pack, shared_keys, slices, unpack
 
-BLOCK_TOKENS = 2_000_000  # shingles packed at a time
+BLOCK_TOKENS = 1_000_000  # shingles packed at a time
+BUCKET_TOKENS = 1_000_000  # shingles counted at a time, about
 FREQUENT = 16  # classes from which a shingle is indexed in pairs
 FEW = 8  # sets of a signature that are paired directly
 CHUNK_TOKENS = 200_000  # shingles in a block of a large group
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 100_000
 _ODD = U(0x9E3779B97F4A7C15)
 
 
@@ -112,13 +113,15 @@ def measured(documents: DataFrame, words: int) -> DataFrame:
     return rows.select("doc_id", F.col("m.n").alias("n_shingles"), F.col("m.class").alias("class"))
 
 
-def shared_tokens(documents: DataFrame, config: Similar) -> DataFrame:
+def shared_tokens(documents: DataFrame, config: Similar, total: int) -> DataFrame:
     """class, n, tokens: the shared shingles of each class that can have a partner, rare first.
 
-    tokens: array<struct<df, token>>, where df is the number of classes with the shingle.
+    tokens: array<struct<df, token>>, where df is the number of classes with the shingle. ``total`` is the
+    number of shingles of all texts, by which buckets are kept to a bounded size.
     """
     words, percent = config.words, config.percent
-    buckets = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, partitions, total // BUCKET_TOKENS)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -318,9 +321,9 @@ def links_in_groups(members: DataFrame, shared: DataFrame, percent: int) -> Data
     return pairs.mapInPandas(compare, "a long, b long")
 
 
-def link_classes(documents: DataFrame, config: Similar) -> DataFrame:
+def link_classes(documents: DataFrame, config: Similar, total: int) -> DataFrame:
     """a, b: links between classes; every class is connected to all it is linked with, maybe by way of others."""
-    shared = written(shared_tokens(documents, config))
+    shared = written(shared_tokens(documents, config, total))
     signed = signatures(shared, config.percent)
     same = Window.partitionBy("sig")
     signed = signed.select("*", F.count("*").over(same).alias("size"), F.min("class").over(same).alias("leader"))
@@ -341,7 +344,8 @@ def similar_groups(documents: DataFrame, config: Similar = Similar()) -> DataFra
     component_id is the smallest doc_id that links lead to, the row's own included.
     """
     rows = written(measured(documents, config.words))
-    found = components(link_classes(documents, config))
+    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    found = components(link_classes(documents, config, total))
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
     classes = classes.join(found.withColumnRenamed("node", "class"), "class", "left")
     classes = classes.select("class", "first", F.coalesce("component", "class").alias("component"))

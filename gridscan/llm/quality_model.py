@@ -20,6 +20,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -49,6 +51,15 @@ def _count(data: bytes, which: bytes) -> int:
     return len(data) - len(data.translate(None, which))
 
 
+def longest_run(words: list[bytes]) -> int:
+    """The most times that a word stands in a row."""
+    n = len(words)
+    if n < 2:
+        return n
+    ends = np.flatnonzero(~np.fromiter(map(eq, words, islice(words, 1, None)), dtype=bool, count=n - 1))
+    return int(np.diff(np.concatenate(([-1], ends, [n - 1]))).max())
+
+
 def measure(text: str | None) -> list[float]:
     """The statistics of one text, in the order of STATISTICS."""
     data = (text or "").encode("utf-8", "replace")
@@ -61,13 +72,7 @@ def measure(text: str | None) -> list[float]:
     repeated = len(lines) - len(set(lines))
     upper = _count(data, _UPPER)
     controls = _count(data, bytes(range(9)) + bytes(range(14, 32)) + b"\x7f")
-    run = best = 0
-    last = None
-    if distinct * 3 < n or n < 2000:
-        for w in words:
-            run = run + 1 if w == last else 1
-            best = max(best, run)
-            last = w
+    best = longest_run(words)
     title = sum(1 for w in words if 65 <= w[0] <= 90)
     top = 0
     if n:

@@ -146,7 +146,10 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(ready(spark), sf_dir, "documents").select("doc_id", "text", "lang")
-    return fertility.judge_fertility(documents, RANK_FILE, RANK_PATTERN).drop("text", "lang")
+    labels = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    bands = fertility.fit_bands(documents.join(labels, "doc_id", "left_semi"), RANK_FILE, RANK_PATTERN)
+    rules = fertility.FertilityRules(bands=fertility.FertilityRules().bands | bands)
+    return fertility.judge_fertility(documents, RANK_FILE, RANK_PATTERN, rules).drop("text", "lang")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

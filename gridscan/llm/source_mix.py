@@ -13,8 +13,8 @@ within the rest. Each selected copy of a document is one row with its ``epoch``.
 
 Defined cases: a null text has no tokens and a document without tokens is never selected in a prefix of a
 leaf without tokens; null domain, language or source is a node of its own; a node without a weight has
-weight 1, a weight of 0 or less gives nothing; rows that repeat are documents of their own, in any order
-among themselves; an empty table gives no rows; further columns are kept, ``epoch`` replaces one of its
+weight 1, a weight of 0 or less gives nothing; rows that repeat are documents of their own in whole
+epochs, and in a prefix those of equal id and text are taken together or not at all; an empty table gives no rows; further columns are kept, ``epoch`` replaces one of its
 name.
 
 The order within a leaf is not sorted as a whole. Hash values fall into a fixed number of slots; totals per
@@ -208,7 +208,7 @@ def mix_sources(
         "mix_doc_id": F.col(f"`{doc_id}`"),
         "mix_text_hash": F.xxhash64(body),
     }
-    columns = [c for c in documents.columns if c.lower() not in {"epoch", *helpers, "mix_tokens", "mix_doc"}]
+    columns = [c for c in documents.columns if c.lower() != "epoch"]
     whole = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("mix_doc")
     rows = documents.select(*(v.alias(k) for k, v in helpers.items()), count_tokens(body).alias("mix_tokens"), whole)
     narrow = written(rows.drop("mix_doc"))

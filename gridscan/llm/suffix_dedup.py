@@ -30,6 +30,7 @@ have; an empty table gives no rows; further columns are kept, result columns rep
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -342,12 +343,16 @@ def joined_stretches(pairs) -> list[tuple[int, int]]:
 
 
 FIELDS = ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
+HELPERS = {"rd_class", "rd_first", "rd_stretches", "anchors", "frequent"}
 
 
 def remove_repeats(documents: DataFrame, length: int = 50, large: int = LARGE) -> DataFrame:
     """documents (doc_id, text, ...) with FIELDS; ``kept`` are the remaining bytes."""
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} or more")
+    # Columns that share a name with one used below stay out of the way under another.
+    clashing = {c: f"_{uuid.uuid4().hex}" for c in documents.columns if c.lower() in HELPERS}
+    documents = documents.withColumnsRenamed(clashing)
     last = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
     own = documents.withColumn("rd_class", F.xxhash64(F.coalesce("text", F.lit(""))))
     texts = own.select(F.col("rd_class").alias("class"), "text").where(F.octet_length("text") >= length)
@@ -377,4 +382,5 @@ def remove_repeats(documents: DataFrame, length: int = 50, large: int = LARGE) -
 
     copy = (F.octet_length("text") >= length) & (last > F.col("rd_first"))
     cut_rows = with_fields(rows, cut("text", F.coalesce(copy, F.lit(False)), "rd_stretches"), FIELDS)
-    return cut_rows.drop("rd_class", "rd_first", "rd_stretches")
+    cut_rows = cut_rows.drop("rd_class", "rd_first", "rd_stretches")
+    return cut_rows.withColumnsRenamed({hidden: name for name, hidden in clashing.items()})

@@ -14,6 +14,7 @@ judged alike; an empty table gives no rows; result columns replace input columns
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -119,10 +120,7 @@ def judge_urls(df: DataFrame, config: UrlFilter, url: str = "url") -> DataFrame:
     host, path = split_url(F.col(f"`{url}`"))
     lowered = F.translate(F.coalesce(F.col(f"`{url}`"), F.lit("")), UPPER, LOWER)
     found = judge(lowered, host, path)
-    fields = F.struct(host.alias("host"), path.alias("path"), found.alias("found"))
-    split = with_fields(df, fields, ["host", "path", "found"])
-    return with_fields(
-        split,
-        F.struct("host", "path", *(F.col("found")[n].alias(n) for n in FIELDS[2:])),
-        FIELDS,
-    ).drop("found")
+    holder = f"_found_{uuid.uuid4().hex}"
+    split = with_fields(df, F.struct(host.alias("host"), path.alias("path"), found.alias(holder)), ["host", "path", holder])
+    result = F.struct("host", "path", *(F.col(holder)[n].alias(n) for n in FIELDS[2:]))
+    return with_fields(split, result, FIELDS).drop(holder)
