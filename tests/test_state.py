@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridscan.config import Params
 from gridscan.operators import cells, codes, grids
+from gridscan.operators.batch import dedup_batch
 from gridscan.operators.window import newest_cut
 from gridscan.plans.detect import detect
 from gridscan.plans.tables import shared_dir
@@ -182,7 +183,7 @@ def test_an_update_reads_no_old_points_and_few_codes(spark, monkeypatch):
     read = [parts for kind, parts in seen if kind == "codes"]
     assert read and all(parts is not None and len(parts) <= 4 for parts in read)
     monkeypatch.undo()
-    whole = detect(df, params)
+    whole = detect(dedup_batch(df), params)
     assert sorted(map(tuple, state.cells(3).collect())) == sorted(map(tuple, whole.cells.collect()))
     scores = {(r.point_id, r.node_id, round(r.score, 9)) for r in read_scores(spark, path, 3).collect()}
     assert scores == {(r.point_id, r.node_id, round(r.score, 9)) for r in whole.points.where("batch_id = 3").collect()}
