@@ -1,6 +1,8 @@
 """Operators against plain versions and on the cases that their docstrings define."""
 
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -279,6 +281,89 @@ def test_fertility_bands(spark):
     }
 
 
+def test_fertility_of_long_runs(spark):
+    encoding, partial = fertility.load_vocabulary(q.RANK_FILE, q.RANK_PATTERN)
+    rng = random.Random(3)
+    parts = ["a", "word", "  ", " ", "\n", "\t", "\u3000", "\x85", "1", "!", "é", "\x1c", "\xa0"]
+    short = re.compile(fertility.LONG_RUN.pattern.replace("1000", "3"))
+    for text in ("".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(500)):
+        plain_ids = encoding.encode_ordinary(text)
+        assert fertility.encode(text, encoding) == plain_ids
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(fertility, "LONG_RUN", short)
+            assert fertility.encode(text, encoding) == plain_ids
+    rows = [(1, "a" + " " * 1_000_000 + "b", "en"), (2, " " * 10_000_000, "en"), (3, "x" * 1_000_000, "en"), (4, "\n" * 1_000_000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = fertility.judge_fertility(df, q.RANK_FILE, q.RANK_PATTERN).collect()
+    assert {r["doc_id"]: r["base_failed"] for r in found} == {1: True, 2: True, 3: True, 4: True}
+    assert all(r["n_tokens"] > 1000 for r in found)
+
+
+def test_fertility_measures():
+    encoding, partial = fertility.load_vocabulary(q.RANK_FILE, q.RANK_PATTERN)
+    for text in ("a", "the cat and the dog and the cat", "日本語 é 😀 mixed", "…" * 5):
+        ids = encoding.encode_ordinary(text)
+        shares = [ids.count(i) / len(ids) for i in set(ids)]
+        broken = 0
+        for i in ids:
+            try:
+                encoding.decode_single_token_bytes(i).decode()
+            except UnicodeDecodeError:
+                broken += 1
+        n, chars, share, entropy = fertility.measures(text, encoding, partial)
+        assert (n, chars, share) == (len(ids), len(text) / len(ids), broken / len(ids))
+        assert entropy == pytest.approx(-sum(p * math.log2(p) for p in shares), abs=1e-9)
+
+
+def test_fertility_bands_of_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    good = docs.join(labels.where("quality = 1"), "doc_id", "left_semi")
+    bands = fertility.fit_bands(good, q.RANK_FILE, q.RANK_PATTERN)
+    assert {"en", "de", "fr", "es"} <= set(bands)
+    text = next(r["text"] for r in good.where("lang = 'en'").orderBy(F.length("text").desc()).limit(1).collect())
+    words = text.split()[:300]
+    rng = random.Random(4)
+    gibberish = " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz#$%", k=9)) for _ in range(200))
+    other = " ".join("".join(chr(0x430 + rng.randrange(32)) for _ in range(6)) for _ in range(200))
+    run_on = " ".join("".join(words[i : i + 12]).lower() + "QzJx" * 9 for i in range(0, 290, 4))
+    rows = [(1, " ".join(words), "en"), (2, gibberish, "en"), (3, other, "en"), (4, run_on, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    rules = fertility.FertilityRules(bands=bands)
+    found = {r["doc_id"]: r for r in fertility.judge_fertility(df, q.RANK_FILE, q.RANK_PATTERN, rules).collect()}
+    assert not any(r["base_failed"] for r in found.values())
+    assert {k: r["kept"] for k, r in found.items()} == {1: True, 2: False, 3: False, 4: False}
+    kept = fertility.judge_fertility(good, q.RANK_FILE, q.RANK_PATTERN, rules).where("not base_failed")
+    assert kept.where("not kept").count() <= 0.02 * kept.count()
+    assert fertility.fit_bands(good.limit(0), q.RANK_FILE, q.RANK_PATTERN) == {}
+
+
+@pytest.mark.parametrize("filler", [0, 200, 5000])
+def test_longest_run_at_every_length(filler):
+    words = [b"w%d" % i for i in range(filler)]
+    assert quality_model.longest_run([*words, *[b"same"] * 400, *words[:3]]) == 400
+    assert quality_model.longest_run(words) == min(1, filler)
+    text = b" ".join([*words, *[b"same"] * 400]).decode()
+    assert quality_model.measure(text)[quality_model.STATISTICS.index("log_longest_run")] == math.log1p(400)
+
+
+def test_columns_of_clashing_names_stay(spark):
+    rows = [(1, "x" * 60, "en", "s", "https://a.com/b"), (2, "x" * 60, "en", "s", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, url string")
+    names = ["found", "row", "key", "anchors", "Frequent", "rd_class", "rd_first", "rd_stretches", "mix_tokens", "mix_doc", "mix_lang"]
+    for name in names:
+        df = df.withColumn(name, F.lit(f"own {name}"))
+    for out in (
+        url_filter.judge_urls(df, q.URLS),
+        source_mix.mix_sources(df, source_mix.Mix(), F.lit("d")),
+        suffix_dedup.remove_repeats(df, 50),
+        quality_model.score(df, quality_model.Discriminant(None, None)),
+        secret_scan.scan_secrets(df),
+    ):
+        got = out.collect()
+        assert len(got) == 2 and all(r[name] == f"own {name}" for r in got for name in names)
+
+
 @pytest.fixture(scope="module")
 def model():
     return pieces.load_model(q.PIECE_MODEL)
