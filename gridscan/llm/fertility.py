@@ -20,7 +20,6 @@ columns replace input columns of the same name.
 from __future__ import annotations
 
 import base64
-import math
 import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
@@ -29,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridscan.llm.common import with_fields
@@ -38,13 +37,14 @@ SYMBOLS = b"#*$%&|<>"
 # The white space of the splitting pattern.
 LONG_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}")
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-FIELDS = [
+MEASURED = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "chars_per_token",
-    "byte_share", "token_entropy", "base_failed", "kept",
+    "byte_share", "token_entropy", "script", "base_failed",
 ]
+FIELDS = [*MEASURED, "kept"]
 SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, "
-    "chars_per_token double, byte_share double, token_entropy double, base_failed boolean, kept boolean"
+    "chars_per_token double, byte_share double, token_entropy double, script string, base_failed boolean"
 )
 SCRIPTS = (
     ("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF),
@@ -61,14 +61,6 @@ class Band:
     byte_share: tuple[float, float] = (0.0, 0.10)
     relative_entropy: tuple[float, float] = (0.35, 1.0)
 
-    def accepts(self, chars: float, share: float, entropy: float) -> bool:
-        return all(
-            low <= x <= high
-            for x, (low, high) in (
-                (chars, self.chars_per_token), (share, self.byte_share), (entropy, self.relative_entropy)
-            )
-        )
-
 
 def _default_bands() -> dict[str, Band]:
     wide = Band((0.5, 6.0), (0.0, 0.6))
@@ -169,32 +161,72 @@ def measures(text: str, encoding: tiktoken.Encoding, partial: np.ndarray) -> tup
     return n, len(text) / n, float(partial[ids].mean()), float(-(p * np.log2(p)).sum()) + 0.0
 
 
-def relative(entropy: float, tokens: int) -> float:
+def measure_fertility(df: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
+    """df with MEASURED. vocabulary: the path of a rank file that every executor has; pattern: how it splits text."""
+
+    @F.pandas_udf(SCHEMA)
+    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoding, partial = load_vocabulary(vocabulary, pattern)
+        for texts in batches:
+            rows = []
+            for body in texts:
+                base = base_counts(body)
+                failed = base[0] < MIN_WORDS or 100 * base[4] > REPEAT_PERCENT * base[0]
+                body = body or ""
+                rows.append((*base, *measures(body, encoding, partial), script_of(body), failed))
+            yield pd.DataFrame(rows, columns=MEASURED)
+
+    return with_fields(df, measure(F.col(f"`{text}`")), MEASURED)
+
+
+def relative_entropy() -> Column:
     """Entropy as a share of the most that so many tokens can have; 1 for a single token."""
-    return entropy / math.log2(tokens) if tokens > 1 else 1.0
+    return F.when(F.col("n_tokens") > 1, F.col("token_entropy") / F.log2("n_tokens")).otherwise(1.0)
+
+
+def _compared() -> dict[str, Column]:
+    return {
+        "chars_per_token": F.col("chars_per_token"),
+        "byte_share": F.col("byte_share"),
+        "relative_entropy": relative_entropy(),
+    }
 
 
-def fit_bands(
-    df: DataFrame, vocabulary: str, pattern: str, text: str = "text", lang: str = "lang", margin: float = 0.5, least: int = 50
-) -> dict[str, Band]:
-    """Bands per language from good texts that pass the base counts; languages with fewer than ``least`` get none.
+def fit_bands(measured: DataFrame, lang: str = "lang", margin: float = 0.5, least: int = 50) -> dict[str, Band]:
+    """Bands per language from the measures of good texts; languages with fewer than ``least`` such texts get none.
 
-    The range from the 1st to the 99th percentile, wider by ``margin`` of itself on either side.
+    The range from the 1st to the 99th percentile of those that pass the base, wider by ``margin`` of itself on
+    either side.
     """
-    rows = df.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("lang is not null")
-    rows = judge_fertility(rows, vocabulary, pattern, FertilityRules(bands={})).where("not base_failed")
-    shares = F.when(F.col("n_tokens") > 1, F.col("token_entropy") / F.log2("n_tokens")).otherwise(1.0)
-    columns = {"chars_per_token": F.col("chars_per_token"), "byte_share": F.col("byte_share"), "relative_entropy": shares}
-    ends = [F.percentile_approx(c, [0.01, 0.99], 10_000).alias(name) for name, c in columns.items()]
-    known = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *ends).where(F.col("n") >= least)
-    bands = {}
-    for row in known.collect():  # a row per language
+    rows = measured.where("not base_failed").select(F.col(f"`{lang}`").alias("lang"), *(c.alias(n) for n, c in _compared().items()))
+    ends = [F.percentile_approx(name, [0.01, 0.99], 10_000).alias(name) for name in _compared()]
+    known = rows.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *ends)
 
-        def widened(low: float, high: float) -> tuple[float, float]:
-            return low - margin * (high - low), high + margin * (high - low)
+    def widened(low: float, high: float) -> tuple[float, float]:
+        return low - margin * (high - low), high + margin * (high - low)
 
-        bands[row["lang"]] = Band(**{name: widened(*row[name]) for name in columns})
-    return bands
+    # A row per language.
+    return {
+        row["lang"]: Band(**{name: widened(*row[name]) for name in _compared()})
+        for row in known.where(F.col("n") >= least).collect()
+    }
+
+
+def judge_measured(df: DataFrame, rules: FertilityRules = FertilityRules(), lang: str = "lang") -> DataFrame:
+    """df, with MEASURED in it, and ``kept``."""
+
+    def accepted(band: Band) -> Column:
+        sides = [c.between(*getattr(band, name)) for name, c in _compared().items()]
+        return sides[0] & sides[1] & sides[2]
+
+    def judged(key: Column, otherwise: Column) -> Column:
+        for name, band in rules.bands.items():
+            otherwise = F.when(key == name, accepted(band)).otherwise(otherwise)
+        return otherwise
+
+    by_script = judged(F.col("script"), F.lit(True))
+    kept = ~F.col("base_failed") & judged(F.col(f"`{lang}`"), by_script)
+    return with_fields(df, F.struct(kept.alias("kept")), ["kept"])
 
 
 def judge_fertility(
@@ -205,23 +237,5 @@ def judge_fertility(
     text: str = "text",
     lang: str = "lang",
 ) -> DataFrame:
-    """df with FIELDS. vocabulary: the path of a rank file that every executor has; pattern: how it splits text."""
-    bands = dict(rules.bands)
-
-    @F.pandas_udf(SCHEMA)
-    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        encoding, partial = load_vocabulary(vocabulary, pattern)
-        for texts, langs in batches:
-            rows = []
-            for body, language in zip(texts, langs):
-                base = base_counts(body)
-                failed = base[0] < MIN_WORDS or 100 * base[4] > REPEAT_PERCENT * base[0]
-                found = measures(body or "", encoding, partial)
-                kept = not failed
-                if kept:
-                    band = bands.get(language) or bands.get(script_of(body))
-                    kept = band is None or band.accepts(*found[1:3], relative(found[3], found[0]))
-                rows.append((*base, *found, failed, kept))
-            yield pd.DataFrame(rows, columns=FIELDS)
-
-    return with_fields(df, judge(F.col(f"`{text}`"), F.col(f"`{lang}`")), FIELDS)
+    """df with FIELDS."""
+    return judge_measured(measure_fertility(df, vocabulary, pattern, text), rules, lang)

@@ -13,7 +13,7 @@ Steps, all exact:
    Rare shingles are indexed alone, frequent ones as pairs within their class. m depends on the size band
    of the smaller partner (powers of two); a set is indexed in the bands that its partners can have.
 4. Candidates: few sets with the same signature are paired. Many are gathered under the smallest of them, cut
-   into blocks of bounded size and compared block by block as matrix products. A block pair reports links
+   into blocks of bounded size, each of sets of about one size, and compared block by block as matrix products. A block pair reports links
    as a spanning forest of what it found, so a large group of copies costs no row per pair.
 5. Verification counts intersections on shared shingles, the union from set sizes.
 6. Components of the links, then of the texts.
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridscan.llm.common import written
+from gridscan.llm.common import join_hot, written
 from gridscan.llm.components import components
 from gridscan.llm.packed import U, mix, pack, shared_keys, slices, unpack
 
@@ -44,7 +44,9 @@ BLOCK_TOKENS = 1_000_000  # shingles packed at a time
 BUCKET_TOKENS = 1_000_000  # shingles counted at a time, about
 FREQUENT = 16  # classes from which a shingle is indexed in pairs
 FEW = 8  # sets of a signature that are paired directly
-CHUNK_TOKENS = 200_000  # shingles in a block of a large group
+CHUNK_TOKENS = 200_000  # shingles in a block of a large group, about
+CHUNK_SETS = 1000  # sets in such a block, about
+BAND_RATIO = 1.15  # sizes of the sets in a block differ by less
 KNOWN_WORDS = 100_000
 _ODD = U(0x9E3779B97F4A7C15)
 
@@ -269,6 +271,7 @@ def links_between(
             dense.append(part)
         counts += dense[0] @ dense[1].T
     both = counts.astype(np.int64)
+    del counts
     na, nb = (np.array([n for _, n, _ in x], dtype=np.int64) for x in (a, b))
     linked = 100 * both >= percent * (na[:, None] + nb[None, :] - both)
     parent: dict[int, int] = {}
@@ -292,21 +295,26 @@ def links_between(
 
 def links_in_groups(members: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     """a, b: links among the classes of each group (leader, class), enough to connect what is linked."""
+    # Chunks hold sets of about the same size. How many a leader has follows from sums, and a hash deals them.
+    weight = F.greatest(F.size("tokens"), F.lit(CHUNK_TOKENS // CHUNK_SETS)).cast("long")
+    band = F.floor(F.log("n") / F.log(F.lit(BAND_RATIO)))
+    rows = members.select("leader", "class").join(shared.select("class", band.alias("band"), weight.alias("weight")), "class")
+    rows = written(rows)
+    sums = written(rows.groupBy("leader", "band").agg(F.sum("weight").alias("held"), F.count(F.lit(1)).alias("n")))
+    total = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = join_hot(rows, sums.drop("n"), ["leader", "band"], sums, total)
+    chunk = F.pmod(F.xxhash64("class"), F.ceil(F.col("held") / CHUNK_TOKENS))
     lists = shared.select("class", "n", _sorted_tokens("tokens").alias("t"))
-    rows = members.select("leader", "class").join(lists, "class")
-    by_size = Window.partitionBy("leader").orderBy("n", "class").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.size("t")).over(by_size), F.lit(0))
-    rows = rows.select("*", F.floor(before / CHUNK_TOKENS).alias("chunk"))
-    chunks = rows.groupBy("leader", "chunk").agg(
+    rows = rows.select("leader", "band", "class", chunk.alias("chunk")).join(lists, "class")
+    chunks = rows.groupBy("leader", "band", "chunk").agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.collect_list(F.struct("class", "n", "t")).alias("sets")
     )
-    chunks = written(chunks)
-    right = chunks.select(
-        F.col("leader"), F.col("chunk").alias("chunk_b"), F.col("low").alias("low_b"), F.col("sets").alias("sets_b")
-    )
-    pairs = chunks.join(right, "leader").where(
-        (F.col("chunk") <= F.col("chunk_b")) & (F.col("high") * 100 >= F.col("low_b") * percent)
-    )
+    chunks = written(chunks.select("leader", "low", "high", "sets", F.monotonically_increasing_id().alias("id")))
+    # Pairs are made of numbers; the contents follow by joins that spread a leader's pairs.
+    left = chunks.select("leader", "id", "low", "high")
+    right = left.select("leader", *(F.col(c).alias(f"{c}_b") for c in ("id", "low", "high")))
+    met = (F.col("high") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low") * percent)
+    pairs = written(left.join(right, "leader").where((F.col("id") <= F.col("id_b")) & met).select("id", "id_b"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -317,7 +325,9 @@ def links_in_groups(members: DataFrame, shared: DataFrame, percent: int) -> Data
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
 
-    pairs = pairs.select("sets", "sets_b").repartition(F.rand(7))
+    sets = chunks.select("id", "sets")
+    other = chunks.select(F.col("id").alias("id_b"), F.col("sets").alias("sets_b"))
+    pairs = pairs.repartition("id", "id_b").join(sets, "id").join(other, "id_b").select("sets", "sets_b")
     return pairs.mapInPandas(compare, "a long, b long")
 
 

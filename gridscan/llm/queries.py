@@ -22,7 +22,7 @@ from gridscan.llm import (
     suffix_dedup,
     url_filter,
 )
-from gridscan.llm.common import ready, table
+from gridscan.llm.common import ready, table, written
 
 TOKENIZERS = "/opt/tokenizers"
 PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -146,10 +146,12 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(ready(spark), sf_dir, "documents").select("doc_id", "text", "lang")
+    # Measures, not texts, move to the labels.
+    measured = written(fertility.measure_fertility(documents, RANK_FILE, RANK_PATTERN).drop("text"))
     labels = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    bands = fertility.fit_bands(documents.join(labels, "doc_id", "left_semi"), RANK_FILE, RANK_PATTERN)
+    bands = fertility.fit_bands(measured.join(labels, "doc_id", "left_semi"))
     rules = fertility.FertilityRules(bands=fertility.FertilityRules().bands | bands)
-    return fertility.judge_fertility(documents, RANK_FILE, RANK_PATTERN, rules).drop("text", "lang")
+    return fertility.judge_measured(measured, rules).drop("lang")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

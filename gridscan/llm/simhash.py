@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridscan.llm.common import written
+from gridscan.llm.common import join_hot, written
 from gridscan.llm.components import components
 
 BITS = 64
@@ -45,7 +45,6 @@ GROUPS = (2, 3, 4)  # numbers of bit groups that are weighed
 PAIR_COST = 0.2  # a compared pair, in probes
 SMALL = 64  # members of a bucket whose pairs are compared one by one
 BLOCK = 2048  # members of a block of a larger bucket, about
-HOT = 1024  # a key with more than this fraction of the rows is joined by broadcast
 SHINGLES = 1 << 16  # hashes held at a time
 
 
@@ -203,17 +202,6 @@ def plan(fps: DataFrame, total: int, distance: int) -> Plan:
     return Plan(tuple(groups), tuple(thresholds))
 
 
-def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], counts: DataFrame, total: int) -> DataFrame:
-    """Join rows to a table of one row per key; keys with a large share of the rows are joined by broadcast.
-
-    counts: the keys with ``n``, their number of rows. Fewer than ``HOT`` keys can be hot.
-    """
-    hot = counts.where(F.col("n") * HOT > total).select(*keys)
-    few = F.broadcast(table.join(F.broadcast(hot), keys))
-    rest = rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys)
-    return rows.join(few, keys).unionByName(rest)
-
-
 def buckets(fps: DataFrame, plan: Plan, total: int) -> DataFrame:
     """g, key, blocks, members: the blocks of fingerprints that agree in group g."""
     used = [(g, _mask(list(group))) for g, group in enumerate(plan.groups) if plan.thresholds[g] >= 0]

@@ -319,7 +319,8 @@ def test_fertility_bands_of_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     good = docs.join(labels.where("quality = 1"), "doc_id", "left_semi")
-    bands = fertility.fit_bands(good, q.RANK_FILE, q.RANK_PATTERN)
+    measured = fertility.measure_fertility(good, q.RANK_FILE, q.RANK_PATTERN)
+    bands = fertility.fit_bands(measured)
     assert {"en", "de", "fr", "es"} <= set(bands)
     text = next(r["text"] for r in good.where("lang = 'en'").orderBy(F.length("text").desc()).limit(1).collect())
     words = text.split()[:300]
@@ -335,7 +336,7 @@ def test_fertility_bands_of_languages(spark):
     assert {k: r["kept"] for k, r in found.items()} == {1: True, 2: False, 3: False, 4: False}
     kept = fertility.judge_fertility(good, q.RANK_FILE, q.RANK_PATTERN, rules).where("not base_failed")
     assert kept.where("not kept").count() <= 0.02 * kept.count()
-    assert fertility.fit_bands(good.limit(0), q.RANK_FILE, q.RANK_PATTERN) == {}
+    assert fertility.fit_bands(measured.limit(0)) == {}
 
 
 @pytest.mark.parametrize("filler", [0, 200, 5000])
