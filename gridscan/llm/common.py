@@ -8,6 +8,7 @@ import uuid
 from functools import lru_cache
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,11 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def release() -> None:
+    """Give back what a worker's Arrow buffers no longer use; workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], counts: DataFrame, total: int) -> DataFrame:
     """Join rows to a table of one row per key; keys with a large share of the rows are joined by broadcast.
 

@@ -36,12 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridscan.llm.common import join_hot, written
+from gridscan.llm.common import join_hot, release, written
 from gridscan.llm.components import components
 from gridscan.llm.packed import U, mix, pack, shared_keys, slices, unpack
 
 BLOCK_TOKENS = 1_000_000  # shingles packed at a time
-BUCKET_TOKENS = 1_000_000  # shingles counted at a time, about
+BUCKET_TOKENS = 400_000  # shingles counted at a time, about
 FREQUENT = 16  # classes from which a shingle is indexed in pairs
 FEW = 8  # sets of a signature that are paired directly
 CHUNK_TOKENS = 200_000  # shingles in a block of a large group, about
@@ -147,6 +147,7 @@ def shared_tokens(documents: DataFrame, config: Similar, total: int) -> DataFram
                         yield flush()
                         sets.clear()
                         held = 0
+                        release()
         if sets:
             yield flush()
 
@@ -155,6 +156,7 @@ def shared_tokens(documents: DataFrame, config: Similar, total: int) -> DataFram
         _, index, df = np.unique(tokens, return_inverse=True, return_counts=True)
         df = df[index]
         keep = df > 1
+        release()
         return pd.DataFrame(
             {
                 "class": owners[keep],

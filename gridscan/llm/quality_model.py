@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridscan.llm.common import with_fields
+from gridscan.llm.common import release, with_fields
 
 STATISTICS = (
     "log_words", "log_word_length", "upper_share", "digit_share", "mark_share", "bang_share", "stop_share",
@@ -103,6 +103,7 @@ def measure(text: str | None) -> list[float]:
 def statistics(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield pd.Series([measure(t) for t in texts], dtype=object)
+        release()
 
 
 @dataclass(frozen=True)
@@ -188,6 +189,7 @@ def score(df: DataFrame, model: Discriminant, text: str = "text", threshold: flo
         for texts in batches:
             x = np.array([measure(t) for t in texts]).reshape(-1, len(STATISTICS))
             yield pd.Series(model.score(x))
+            release()
 
     with_score = with_fields(df, F.struct(scored(F.col(f"`{text}`")).alias("score")), ["score"])
     predicted = F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int")
