@@ -13,10 +13,11 @@ that they cover. Steps, all exact but for equal 64-bit hashes of different texts
 3. Texts with shared anchors give the contexts of their runs. Of equal contexts that one task sees, those
    of larger ids go at once and only the rest move on, so a passage that very many texts have moves about
    once per task.
-4. Contexts meet by anchor. All that differ are joined into blocks in which an anchor is one symbol, and
-   the suffixes are sorted (linear grouping over Lyndon prefixes, ``lyndon_sort``). In that order equal
-   strings stand together; all but those of the smallest id go. Contexts that have neither side near the
-   anchor in common with another one cannot share a string and are left out.
+4. Contexts meet by anchor, which becomes one symbol of them. Of equal ones the smallest id stays. A context
+   is cut back on either side to what it shares with another context of its anchor, since no common string
+   reaches farther; one that is then too short has none. The suffixes of all others are sorted anchor by
+   anchor (linear grouping over Lyndon prefixes, ``lyndon_sort``). In that order equal strings stand
+   together; all but those of the smallest id go.
 5. Removed stretches are gathered per class and cut out of the texts.
 
 An anchor that more than ``large`` texts have is not brought together as one: its strings meet by their own
@@ -31,7 +32,6 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,13 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridscan.llm.common import with_fields, written
-from gridscan.llm.lyndon_sort import suffix_array
+from gridscan.llm.lyndon_sort import suffix_order
 from gridscan.llm.packed import U, mix, shared_keys, slices, unpack
 
 GRAM = 32
 BATCH_BYTES = 4_000_000
 BLOCK_KEYS = 1_000_000
-SORT_SYMBOLS = 100_000  # symbols of contexts whose suffixes are sorted together, about
+SORT_ROWS = 50_000  # contexts whose suffixes are sorted in one call, about
+NO_BYTE = 0xFF  # no UTF-8 text holds it
+ANCHOR = 0x101  # the symbol of an anchor, above those of all bytes
 LARGE = 20_000
 LAST_ID = (1 << 63) - 1
 _POSITION = U(0xFFFFFF)
@@ -179,13 +181,24 @@ def shared_anchors(texts: DataFrame, length: int, large: int) -> DataFrame:
     )
 
 
+FOUND = ["class", "start", "end"]
 SIDES = "key long, left binary, right binary, id long, class long, start long, end long"
 
 
+def _joined(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows of SIDES that go, as one row without sides for each stretch, with keys of no anchor."""
+    rows = rows.sort_values(["class", "start"], kind="stable")
+    text, start, end = (rows[c].to_numpy() for c in FOUND)
+    head = np.ones(len(rows), dtype=bool)
+    head[1:] = (text[1:] != text[:-1]) | (start[1:] > end[:-1])  # ends ascend with starts, as runs follow one another
+    out = rows[head].assign(left=None, right=None, end=end[np.append(head[1:], True)] if len(rows) else end)
+    return out.assign(key=mix(out["class"].to_numpy(np.int64).view(U) + out["start"].to_numpy(np.int64).view(U)).view(np.int64))
+
+
 def sides_of(texts: DataFrame, length: int) -> DataFrame:
     """SIDES: the contexts of each text's shared anchors, as the bytes before and behind the anchor.
 
-    A row without sides is a stretch that goes: the task saw its context with a smaller id. For a frequent
+    A row without sides is a stretch that goes: the task saw its contexts with smaller ids. For a frequent
     anchor each string is a context of its own, with a key of its own. texts: id, first, class, text,
     anchors, frequent; only rows whose id is ``first`` count.
     """
@@ -225,107 +238,141 @@ def sides_of(texts: DataFrame, length: int) -> DataFrame:
                 "class": pdf["class"].to_numpy()[text], "start": start, "end": end,
             })
             least = rows.groupby(["key", "left", "right"], sort=False)["id"].transform("min")
-            rows.loc[rows["id"] > least, ["left", "right"]] = None
-            yield rows
+            gone = (rows["id"] > least).to_numpy()
+            yield rows[~gone]
+            yield _joined(rows[gone])
 
     return texts.select("id", "first", "class", "text", "anchors", "frequent").mapInPandas(cut, SIDES)
 
 
-def earlier_strings(contexts: list[str], ids: list[int], length: int) -> list[np.ndarray]:
-    """For each context the starts of its strings of so many symbols that a context of a smaller id has too."""
-    data = "".join(contexts)
-    sizes = np.array([len(c) for c in contexts])
-    ends = np.cumsum(sizes)
-    begins = ends - sizes
-    order = np.array(suffix_array(data), dtype=np.int64)
-    which = np.searchsorted(ends, order, side="right")
-    inside = order + length <= ends[which]
-    order, which = order[inside], which[inside]
-    owner = np.array(ids, dtype=np.int64)[which]
-    strings = [data[a : a + length] for a in order.tolist()]
-    first = np.flatnonzero(np.array([True, *(a != b for a, b in zip(strings[:-1], strings[1:]))])[: len(order)])
-    found: list[list[int]] = [[] for _ in contexts]
-    if len(order):
-        least = np.repeat(np.minimum.reduceat(owner, first), np.diff(np.append(first, len(order))))
-        for i in np.flatnonzero(owner > least):
-            found[which[i]].append(int(order[i] - begins[which[i]]))
-    return [np.array(sorted(f), dtype=np.int64) for f in found]
-
-
-def stretches(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Strings of sorted starts, joined where they touch."""
-    if not len(starts):
-        return []
-    gap = np.flatnonzero(np.diff(starts) > length)
-    first = np.append(0, gap + 1)
-    last = np.append(gap, len(starts) - 1)
-    return [(int(starts[a]), int(starts[b]) + length) for a, b in zip(first, last)]
-
-
-class _Block:
-    """Contexts of some anchors; adds what goes of them to a list of (class, start, end)."""
-
-    def __init__(self, length: int):
-        self.strings = length - GRAM + 1  # symbols of a string, its anchor being one
-        self.rows: list[tuple[str, int, list[tuple[int, int]]]] = []  # context, id, the (class, start) that have it
-        self.size = 0
-        self.anchors = 0
-
-    def add(self, members: list[tuple], out: list[tuple[int, int, int]]) -> None:
-        """members: left, right, id, class, start, end of one anchor."""
-        least: dict[tuple[bytes, bytes], int] = {}
-        for left, right, own, *_ in members:
-            known = least.get((left, right))
-            least[(left, right)] = own if known is None else min(known, own)
-        have: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
-        for left, right, own, text, start, end in members:
-            if own > least[(left, right)]:
-                out.append((text, start, end))
-            else:
-                have.setdefault((left, right), []).append((text, start))
-        if len(have) < 2:
-            return
-        # Strings agree in half of their bytes before the anchor or in half of those behind it, or in more.
-        near = self.strings // 2
-        before, behind = Counter(x[-near:] for x, _ in have), Counter(y[:near] for _, y in have)
-        mark = chr(0x10000 + self.anchors)
-        self.anchors += 1
-        for (left, right), places in have.items():
-            if before[left[-near:]] > 1 or behind[right[:near]] > 1:
-                self.rows.append((left.decode("latin-1") + mark + right.decode("latin-1"), least[(left, right)], places))
-                self.size += len(self.rows[-1][0])
-
-    def sort(self, out: list[tuple[int, int, int]]) -> None:
-        found = earlier_strings([r[0] for r in self.rows], [r[1] for r in self.rows], self.strings)
-        for (_, _, places), starts in zip(self.rows, found):
-            for a, b in stretches(starts, self.strings):
-                out += [(text, start + a, start + b + GRAM - 1) for text, start in places]
-        self.rows, self.size, self.anchors = [], 0, 0
+def _places(sides: list[bytes], width: int, front: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each side away from the anchor, one row each, filled up with a byte that no text has; sizes."""
+    fill = bytes([NO_BYTE])
+    joined = b"".join([x.rjust(width, fill) for x in sides] if front else [x.ljust(width, fill) for x in sides])
+    rows = np.frombuffer(joined, dtype=np.uint8).reshape(len(sides), width)
+    return rows[:, ::-1] if front else rows, np.fromiter(map(len, sides), dtype=np.int64, count=len(sides))
+
+
+def _order(key: np.ndarray, *sides: np.ndarray) -> np.ndarray:
+    """Rows by key and then by the bytes of the sides."""
+    words = []
+    for side in sides:
+        padded = np.zeros((len(side), -(-side.shape[1] // 8) * 8), dtype=np.uint8)
+        padded[:, : side.shape[1]] = side
+        words += list(padded.view(">u8").astype(U).T)
+    return np.lexsort((*words[::-1], key))
+
+
+def _agreed(key: np.ndarray, side: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many places from the anchor on a row shares with the other row of its key that agrees in most."""
+    out = np.zeros(len(key), dtype=np.int64)
+    if len(key) > 1 and side.shape[1]:
+        order = _order(key, side)
+        differ = side[order[1:]] != side[order[:-1]]
+        same = np.where(differ.any(axis=1), differ.argmax(axis=1), side.shape[1])
+        same = np.minimum(same, np.minimum(size[order[1:]], size[order[:-1]]))
+        same[key[order[1:]] != key[order[:-1]]] = 0
+        out[order[1:]] = same
+        out[order[:-1]] = np.maximum(out[order[:-1]], same)
+    return out
+
+
+def earlier_strings(symbols: np.ndarray, block: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """Sorted places of the strings of so many symbols that a text of a smaller owner has in the same block.
+
+    symbols, block: as for ``suffix_order``; owner: of each place.
+    """
+    order = suffix_order(symbols, block)
+    ends = np.flatnonzero(symbols == 0)
+    order = order[order + length <= ends[np.searchsorted(ends, order)]] if len(order) else order
+    if not len(order):
+        return order
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = block[order[1:]] != block[order[:-1]]
+    for k in range(length):
+        new[1:] |= symbols[order[1:] + k] != symbols[order[:-1] + k]
+    first = np.flatnonzero(new)
+    least = np.repeat(np.minimum.reduceat(owner[order], first), np.diff(np.append(first, len(order))))
+    return np.sort(order[owner[order] > least])
+
+
+def contexts_matches(rows: pd.DataFrame, length: int) -> pd.DataFrame:
+    """class, start, end: what goes of contexts (SIDES) that hold all of their keys."""
+    decided = rows["left"].isna().to_numpy()
+    out = [rows.loc[decided, FOUND]]
+    rows = rows[~decided]
+    if not len(rows):
+        return out[0]
+    width = length - GRAM
+    key, own = rows["key"].to_numpy(np.int64), rows["id"].to_numpy(np.int64)
+    left, left_size = _places(rows["left"].tolist(), width, True)
+    right, right_size = _places(rows["right"].tolist(), width, False)
+    # Equal contexts: those of larger ids go, the others are one.
+    order = _order(key, left, right)
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    for side in (left, right):
+        new[1:] |= (side[order[1:]] != side[order[:-1]]).any(axis=1)
+    one = order[new]
+    context = np.empty(len(order), dtype=np.int64)
+    context[order] = np.cumsum(new) - 1
+    least = np.minimum.reduceat(own[order], np.flatnonzero(new))
+    gone = own > least[context]
+    out.append(rows.loc[gone, FOUND])
+    # A string cannot reach farther from the anchor than another context agrees with this one.
+    key, left, right = key[one], left[one], right[one]
+    before, behind = _agreed(key, left, left_size[one]), _agreed(key, right, right_size[one])
+    kept = np.flatnonzero(before + behind >= width)
+    if not len(kept):
+        return pd.concat(out)
+    before, behind = before[kept], behind[kept]
+    marks = np.full((len(kept), 2 * width + 2), ANCHOR, dtype=np.int64)
+    marks[:, :width] = left[kept][:, ::-1].astype(np.int64) + 1
+    marks[:, width + 1 : -1] = right[kept].astype(np.int64) + 1
+    marks[:, -1] = 0
+    used = np.ones(marks.shape, dtype=bool)
+    used[:, :width] = np.arange(width)[::-1] < before[:, None]
+    used[:, width + 1 : -1] = np.arange(width) < behind[:, None]
+    sizes = used.sum(axis=1)
+    symbols = np.append(0, marks[used])
+    text = np.append(0, np.repeat(np.arange(len(kept)), sizes))
+    block = np.unique(key[kept], return_inverse=True)[1]
+    at = earlier_strings(symbols, block[text], least[kept][text], width + 1)
+    if not len(at):
+        return pd.concat(out)
+    # Strings that touch are one stretch; every row of the context loses it.
+    head = np.ones(len(at), dtype=bool)
+    head[1:] = (text[at[1:]] != text[at[:-1]]) | (np.diff(at) > width + 1)
+    first, last = at[head], at[np.append(head[1:], True)]
+    which = text[first]
+    offset = 1 + np.cumsum(sizes) - sizes + before - left_size[one][kept]  # where the whole context would start
+    found = pd.DataFrame({"context": kept[which], "from": first - offset[which], "to": last - offset[which] + length})
+    places = pd.DataFrame({"context": context[~gone], "class": rows["class"].to_numpy()[~gone], "at": rows["start"].to_numpy()[~gone]})
+    found = found.merge(places, on="context")
+    out.append(pd.DataFrame({"class": found["class"], "start": found["at"] + found["from"], "end": found["at"] + found["to"]}))
+    return pd.concat(out)
 
 
 def sorted_matches(rows: DataFrame, length: int) -> DataFrame:
     """class, start, end: what goes, of rows of SIDES."""
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, members, at = _Block(length), [], None
-        out: list[tuple[int, int, int]] = []
+        held: list[pd.DataFrame] = []
+        size = 0
         for pdf in batches:
-            for key, left, right, *rest in zip(*(pdf[c] for c in ("key", "left", "right", "id", "class", "start", "end"))):
-                if left is None:
-                    out.append(tuple(rest[1:]))
-                    continue
-                if key != at:
-                    block.add(members, out)
-                    members, at = [], key
-                    if block.size >= SORT_SYMBOLS:
-                        block.sort(out)
-                members.append((left, right, *rest))
-            if len(out) > 50_000:
-                yield pd.DataFrame(out, columns=["class", "start", "end"])
-                out = []
-        block.add(members, out)
-        block.sort(out)
-        yield pd.DataFrame(out, columns=["class", "start", "end"])
+            if not len(pdf):
+                continue
+            held.append(pdf)
+            size += len(pdf)
+            last = pdf["key"].iloc[-1]
+            if size >= SORT_ROWS and held[0]["key"].iloc[0] != last:  # the last key may go on
+                together = pd.concat(held, ignore_index=True)
+                whole = (together["key"] != last).to_numpy()
+                yield contexts_matches(together[whole], length)
+                held = [together[~whole]]
+                size = len(held[0])
+        if size:
+            yield contexts_matches(pd.concat(held, ignore_index=True), length)
 
     dealt = rows.repartition("key").sortWithinPartitions("key")
     return dealt.mapInPandas(sort, "class long, start long, end long")

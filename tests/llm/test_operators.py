@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,6 +85,45 @@ def test_suffix_order():
             assert list(lyndon_sort.suffix_array(data)) == sorted(range(n), key=lambda i: raw[i:])
 
 
+def test_suffix_order_of_blocks():
+    """Blocks of several texts, as contexts of anchors come."""
+    rng = random.Random(2)
+    texts = [(b, bytes(rng.randrange(3) for _ in range(rng.randrange(1, 30)))) for b in range(40) for _ in range(rng.randrange(1, 9))]
+    symbols = np.array([0, *(x for _, t in texts for x in [*(c + 1 for c in t), 0])])
+    block = np.array([0, *(b for b, t in texts for _ in range(len(t) + 1))])
+    suffixes, at = [], 1
+    for b, t in texts:
+        suffixes += [(b, t[i:]) for i in range(len(t))]
+        at += len(t) + 1
+    order = lyndon_sort.suffix_order(symbols, block)
+    ends = np.flatnonzero(symbols == 0)
+    found = [(int(block[p]), bytes((symbols[p : ends[np.searchsorted(ends, p)]] - 1).tolist())) for p in order]
+    assert found == sorted(suffixes) and len(set(order.tolist())) == len(order)
+    assert len(lyndon_sort.suffix_order(np.array([0]), np.array([0]))) == 0
+
+
+def test_contexts_of_one_anchor():
+    """Contexts that are cut back to what others share lose what all strings say."""
+    rng = random.Random(4)
+    rows = []
+    for key in range(300):
+        for i in range(rng.randrange(1, 7)):
+            left = bytes(rng.choice(b"ab") for _ in range(rng.randrange(19)))[-18:]
+            right = bytes(rng.choice(b"ab") for _ in range(max(18 - len(left), rng.randrange(19))))
+            rows.append((key, b"ab" * 9 if i > 3 else left, right, rng.randrange(5), key * 10 + i, 100, 132 + len(left) + len(right)))
+    frame = pd.DataFrame(rows, columns=["key", "left", "right", "id", "class", "start", "end"])
+    found = {}
+    for c, a, b in suffix_dedup.contexts_matches(frame, 50)[["class", "start", "end"]].itertuples(index=False):
+        found.setdefault(c, set()).update(range(a, b))
+    anchor, wanted = bytes(range(200, 232)), {}
+    for key, left, right, own, text, start, _ in rows:
+        whole = left + anchor + right
+        for i in range(len(whole) - 49):
+            if any(k == key and o < own and whole[i : i + 50] in x + anchor + y for k, x, y, o, *_ in rows):
+                wanted.setdefault(text, set()).update(range(start + i, start + i + 50))
+    assert found == wanted and wanted
+
+
 def repeats(rng):
     passages = ["".join(rng.choice("abcdé ") for _ in range(n)) for n in (50, 55, 90, 200)]
     docs = {}
