@@ -14,8 +14,12 @@ vectors of any length, and for queries of the form (vector, 0).
    seen. Each hop joins the best ones not yet visited with their neighbours. It ends when all kept
    nodes have been visited.
 4. Exact scores in double precision on the original vectors order what was found; nodes become rows again.
+   Of the nodes that a query kept, those are scored that could be among its nearest given the rounding.
 
-The graph holds points in half precision; rounding only matters for which nodes are seen.
+A node with its edges, and a query with the nodes it keeps, are one row with lists of bounded length, sorted
+from near to far. Tasks cut what they find to the best of each owner before it moves, so that an iteration or
+a hop merges lists in one shuffle. The graph holds points in half precision; rounding only matters for which
+nodes are seen.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component take no part, as
 do rows with a null id; missing last components of shorter vectors count as 0; rows that repeat an id and a
@@ -38,6 +42,9 @@ from pyspark.sql import functions as F
 from gridscan.llm.common import written
 
 H = np.float16
+PENDING = 1_000_000  # found nodes that a task holds before it cuts them to the best of each owner
+SHARING = 1000  # queries of one vector that are answered together, about
+LISTS = "node long, ids array<long>, close array<float>, known array<tinyint>"
 
 
 @dataclass(frozen=True)
@@ -92,6 +99,76 @@ def points_of(nodes: DataFrame, width: int, longest: float) -> DataFrame:
     return nodes.select("node", place("v").alias("p")).select("node", "p.norm", "p.point")
 
 
+def _best_of(
+    owner: np.ndarray, other: np.ndarray, close: np.ndarray, known: np.ndarray, keep: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each owner's nearest others, each of them once, by owner and from near to far."""
+    order = np.lexsort((other, owner))
+    owner, other, close, known = owner[order], other[order], close[order], known[order]
+    new = np.ones(len(owner), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])
+    first = np.flatnonzero(new)
+    if len(first) < len(owner):
+        owner, other = owner[first], other[first]
+        close, known = np.maximum.reduceat(close, first), np.maximum.reduceat(known, first)
+    order = np.lexsort((other, -close, owner))
+    owner, other, close, known = owner[order], other[order], close[order], known[order]
+    new = np.ones(len(owner), dtype=bool)
+    new[1:] = owner[1:] != owner[:-1]
+    first = np.flatnonzero(new)
+    place = np.arange(len(owner)) - np.repeat(first, np.diff(np.append(first, len(owner))))
+    near = place < keep
+    return owner[near], other[near], close[near], known[near]
+
+
+def _lists(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], keep: int) -> Iterator[pd.DataFrame]:
+    """Rows of LISTS with the nearest of each owner, from arrays owner, other, close; nothing is known yet."""
+
+    def cut(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        owner, other, close = (np.concatenate(z) for z in zip(*held))
+        owner, *rest = _best_of(owner, other, close.astype(np.float32), np.zeros(len(owner), np.int8), keep)
+        names, first = np.unique(owner, return_index=True)
+        ids, near, known = (np.split(z, first[1:]) for z in rest)
+        return pd.DataFrame({"node": names, "ids": ids, "close": near, "known": known})
+
+    held, n = [], 0
+    for part in parts:
+        if not len(part[0]):
+            continue
+        held.append(part)
+        n += len(part[0])
+        if n >= PENDING:
+            yield cut(held)
+            held, n = [], 0
+    if held:
+        yield cut(held)
+
+
+def merged(rows: DataFrame, keep: int) -> DataFrame:
+    """One row for each node, with its point and the nearest of its lists; one of a node's rows has the point."""
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sizes = [len(x) for x in pdf["ids"]]
+            owner = np.repeat(np.arange(len(pdf)), sizes)
+            columns = [np.concatenate([np.asarray(x, t) for x in pdf[c]]) for c, t in _TYPES]
+            owner, *rest = _best_of(owner, *columns, keep)
+            cuts = np.cumsum(np.bincount(owner, minlength=len(pdf)))[:-1]
+            ids, close, known = (np.split(z, cuts) for z in rest)
+            yield pd.DataFrame({"node": pdf["node"], "point": pdf["point"], "ids": ids, "close": close, "known": known})
+
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c, _ in _TYPES]
+    rows = rows.groupBy("node").agg(F.first("point", ignorenulls=True).alias("point"), *lists)
+    return rows.mapInPandas(merge, f"point binary, {LISTS}").select("node", "point", "ids", "close", "known")
+
+
+_TYPES = (("ids", np.int64), ("close", np.float32), ("known", np.int8))
+
+
+def _without_point(lists: DataFrame) -> DataFrame:
+    return lists.select("node", F.lit(None).cast("binary").alias("point"), "ids", "close", "known")
+
+
 def _edges_among(ids: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k nearest of each point among the others."""
     close = points @ points.T
@@ -104,7 +181,7 @@ def _edges_among(ids: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarra
 
 
 def first_edges(points: DataFrame, width: int, n: int, config: Descent) -> DataFrame:
-    """a, b, close"""
+    """LISTS: the nearest of each node in its buckets, several rows for each."""
     bits = max(0, math.ceil(math.log2(max(1, n / config.bucket))))
     planes = np.random.default_rng(config.seed).standard_normal((config.rounds, bits, width + 1)).astype(np.float32)
 
@@ -124,135 +201,136 @@ def first_edges(points: DataFrame, width: int, n: int, config: Descent) -> DataF
     )
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for ids, packed in zip(pdf["ids"], pdf["points"]):
-                a, b, close = _edges_among(np.asarray(ids), _stack(packed, width + 1), config.edges)
-                if len(a):
-                    yield pd.DataFrame({"a": a, "b": b, "close": close})
+        rows = (row for pdf in batches for row in zip(pdf["ids"], pdf["points"]))
+        found = (_edges_among(np.asarray(ids), _stack(packed, width + 1), config.edges) for ids, packed in rows)
+        yield from _lists(found, config.edges)
 
-    return buckets.select("ids", "points").mapInPandas(compare, "a long, b long, close float")
+    return buckets.select("ids", "points").mapInPandas(compare, LISTS)
 
 
-def kept_edges(edges: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each node, of rows a, b, close, fresh; an edge known before is not fresh."""
-    edges = edges.groupBy("a", "b").agg(F.max("close").alias("close"), F.min("fresh").alias("fresh"))
-    best = Window.partitionBy("a").orderBy(F.col("close").desc(), "b")
-    return edges.select("*", F.row_number().over(best).alias("place")).where(F.col("place") <= k)
-
-
-def gathered(points: DataFrame, edges: DataFrame, config: Descent) -> DataFrame:
-    """center, part, ids, points, worst, fresh: the nodes with an edge from or to each center.
+def gathered(graph: DataFrame, config: Descent) -> DataFrame:
+    """center, part, ids, points, worst, known: the nodes with an edge from or to each center.
 
     worst: how near the last edge of each node is, below any value where it has fewer edges than it may.
+    known: 0 if an edge between the node and the center is new.
     """
-    last = edges.groupBy("a").agg(F.count("*").alias("n"), F.min("close").alias("c"))
-    worst = F.when(F.col("n") < config.edges, F.lit(-9.0)).otherwise(F.col("c")).cast("float")
-    known = points.join(last, points["node"] == last["a"], "left")
-    known = known.select("node", "point", F.coalesce(worst, F.lit(-9.0)).cast("float").alias("worst"))
-    ends = edges.select(F.col("a").alias("center"), F.col("b").alias("node"), "fresh")
-    starts = edges.select(F.col("b").alias("center"), F.col("a").alias("node"), "fresh")
-    both = ends.union(starts).groupBy("center", "node").agg(F.max("fresh").alias("fresh"))
-    sizes = both.groupBy("center").agg(F.count("*").alias("n"))
-    parts = F.greatest(F.lit(1), F.round(F.col("n") / config.group)).cast("long").alias("parts")
-    rows = both.join(sizes.select("center", parts), "center").join(known, "node")
-    part = F.pmod(F.xxhash64("node", "center"), F.col("parts")).alias("part")
-    return rows.groupBy("center", part).agg(
+    edges = graph.select(F.col("node").alias("a"), F.explode(F.arrays_zip("ids", "known")).alias("e"))
+    edges = edges.select("a", F.col("e.ids").alias("b"), F.col("e.known").alias("known"))
+    # Only numbers are joined to the few centers that are split; points follow.
+    sizes = edges.groupBy(F.col("b").alias("center")).agg((F.count("*") + config.edges).alias("n"))
+    parts = F.round(F.col("n") / config.group).cast("long").alias("parts")
+    hubs = written(sizes.select("center", parts).where("parts > 1"))
+    ends = edges.select(F.col("a").alias("center"), F.col("b").alias("node"), "known", F.lit(True).alias("end"))
+    starts = edges.select(F.col("b").alias("center"), F.col("a").alias("node"), "known", F.lit(False).alias("end"))
+    part = F.pmod(F.xxhash64("node", "center"), F.coalesce("parts", F.lit(1))).alias("part")
+    rows = ends.union(starts).join(hubs, "center", "left").select("center", part, "node", "known", "end")
+    worst = F.when(F.size("ids") < config.edges, F.lit(-9.0)).otherwise(F.element_at("close", -1)).cast("float")
+    others = graph.select("node", "point", worst.alias("worst"), "ids", F.col("known").alias("flags"))
+    rows = rows.join(others, "node")
+    # Of two edges between a node and a center one brings the point, unless only the other one is new.
+    back = F.get("flags", F.array_position("ids", F.col("center")).cast("int") - 1) <= F.col("known")
+    rows = rows.where(~(F.col("end") & F.coalesce(back, F.lit(False))))
+    return rows.groupBy("center", "part").agg(
         F.collect_list("node").alias("ids"),
         F.collect_list("point").alias("points"),
         F.collect_list("worst").alias("worst"),
-        F.collect_list("fresh").alias("fresh"),
+        F.collect_list("known").alias("known"),
     )
 
 
-def improved_edges(groups: DataFrame, width: int) -> DataFrame:
-    """a, b, close: edges between nodes of a group that are nearer than the worst that a has."""
+def improved_edges(groups: DataFrame, width: int, config: Descent) -> DataFrame:
+    """LISTS: edges between nodes of a group that are nearer than the worst that their owner has."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for ids, packed, worst, fresh in zip(pdf["ids"], pdf["points"], pdf["worst"], pdf["fresh"]):
-                ids, new = np.asarray(ids), np.asarray(fresh).astype(bool)
-                if len(ids) < 2 or not new.any():
-                    continue
-                x = _stack(packed, width + 1)
-                close = x @ x.T
-                wanted = (new[:, None] | new[None, :]) & (close > np.asarray(worst)[:, None])
-                np.fill_diagonal(wanted, False)
-                i, j = np.nonzero(wanted)
-                found.append((ids[i], ids[j], close[i, j]))
-            if found:
-                a, b, close = (np.concatenate(z) for z in zip(*found))
-                yield pd.DataFrame({"a": a, "b": b, "close": close})
-
-    columns = groups.select("ids", "points", "worst", "fresh")
-    return columns.mapInPandas(compare, "a long, b long, close float")
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for pdf in batches:
+                for ids, packed, worst, known in zip(pdf["ids"], pdf["points"], pdf["worst"], pdf["known"]):
+                    ids, new = np.asarray(ids), np.asarray(known) == 0
+                    if len(ids) < 2 or not new.any():
+                        continue
+                    x = _stack(packed, width + 1)
+                    close = x @ x.T
+                    wanted = (new[:, None] | new[None, :]) & (close > np.asarray(worst)[:, None])
+                    wanted &= ids[:, None] != ids[None, :]
+                    i, j = np.nonzero(wanted)
+                    yield ids[i], ids[j], close[i, j]
+
+        yield from _lists(found(), config.edges)
+
+    return groups.select("ids", "points", "worst", "known").mapInPandas(compare, LISTS)
 
 
 def neighbour_graph(points: DataFrame, width: int, n: int, config: Descent) -> DataFrame:
-    """a, b, close, fresh, place: the edges of each node after NN-descent."""
-    first = first_edges(points, width, n, config).withColumn("fresh", F.lit(1))
-    edges = written(kept_edges(first, config.edges))
+    """node, point, ids, close, known: the nodes with their edges after NN-descent."""
+    none = [F.array().cast(t).alias(c) for c, t in (("ids", "array<long>"), ("close", "array<float>"), ("known", "array<tinyint>"))]
+    first = points.select("node", "point", *none).union(_without_point(first_edges(points, width, n, config)))
+    graph = written(merged(first, config.edges))
     for _ in range(config.iterations):
-        better = improved_edges(gathered(points, edges, config), width).withColumn("fresh", F.lit(1))
-        old = edges.select("a", "b", "close", F.lit(0).alias("fresh"))
-        edges = written(kept_edges(old.union(better), config.edges))
-        fresh, every = edges.agg(F.sum("fresh"), F.count("*")).first()
-        if (fresh or 0) <= config.change * every:
+        better = improved_edges(gathered(graph, config), width, config)
+        known = F.transform("ids", lambda _: F.lit(1).cast("tinyint")).alias("known")
+        old = graph.select("node", "point", "ids", "close", known)
+        graph = written(merged(old.union(_without_point(better)), config.edges))
+        new = F.size(F.filter("known", lambda x: x == 0))
+        fresh, every = graph.agg(F.sum(new), F.sum(F.size("ids"))).first()
+        if (fresh or 0) <= config.change * (every or 0):
             break
-    return edges
-
+    return graph
 
-def _best(pool: DataFrame, keep: int) -> DataFrame:
-    """query, node, close, done, place: the best nodes of each query."""
-    pool = pool.groupBy("query", "node").agg(F.max("close").alias("close"), F.max("done").alias("done"))
-    best = Window.partitionBy("query").orderBy(F.col("close").desc(), "node")
-    return pool.select("*", F.row_number().over(best).alias("place")).where(F.col("place") <= keep)
 
-
-def search_graph(points: DataFrame, edges: DataFrame, queries: DataFrame, width: int, config: Descent) -> DataFrame:
-    """query, node: the nodes that queries (query: a node) end with, their own included."""
+def search_graph(points: DataFrame, graph: DataFrame, queries: DataFrame, width: int, config: Descent) -> DataFrame:
+    """query, ids, close: the nodes that queries (query: a node) end with, from near to far, their own first."""
     spark = points.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = gathered(points, edges, config).select("center", "ids", F.array_join(F.transform("points", F.hex), "").alias("p"))
+    blocks = gathered(graph, config).select("center", "ids", F.array_join(F.transform("points", F.hex), "").alias("p"))
     blocks = written(blocks.select("center", "ids", F.unhex("p").alias("points")))
-    blocks = blocks.repartition(parts, "center").persist(StorageLevel.MEMORY_AND_DISK)
-
-    @F.pandas_udf("array<float>")
-    def nearness(of: pd.Series, packed: pd.Series) -> pd.Series:
-        q = _stack(of, width + 1)
-        q[:, width] = 0
-        out = []
-        for x, block in zip(q, packed):
-            out.append(np.frombuffer(block, dtype=H).reshape(-1, width + 1).astype(np.float32) @ x)
-        return pd.Series(out)
-
-    asked = written(queries.join(points, queries["query"] == points["node"]).select("query", F.col("point").alias("of")))
+    blocks = blocks.repartition(parts, "center").sortWithinPartitions("center").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def seen(visits: DataFrame) -> DataFrame:
+        """LISTS, the nodes being queries: the nodes of the blocks they visit that are nearer than floor."""
+
+        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            def found() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+                for pdf in batches:
+                    if not len(pdf):
+                        continue
+                    q = _stack(pdf["of"], width + 1)
+                    q[:, width] = 0
+                    for query, x, floor, ids, block in zip(pdf["query"], q, pdf["floor"], pdf["ids"], pdf["points"]):
+                        close = np.frombuffer(block, dtype=H).reshape(-1, width + 1).astype(np.float32) @ x
+                        near = close > floor
+                        yield np.full(near.sum(), query), np.asarray(ids)[near], close[near]
+
+            yield from _lists(found(), config.beam)
+
+        return visits.select("query", "of", "floor", "ids", "points").mapInPandas(compare, LISTS)
+
+    asked = queries.join(points, queries["query"] == points["node"]).select("query", F.col("point").alias("of"))
+    asked = written(asked.withColumn("floor", F.lit(-9.0)))
     far = points.orderBy(F.col("norm").desc(), "node").limit(config.entries)  # a bounded table
     far = far.agg(F.collect_list("node").alias("ids"), F.array_join(F.collect_list(F.hex("point")), "").alias("p"))
     entry = asked.crossJoin(F.broadcast(far.select("ids", F.unhex("p").alias("points"))))
-
-    def seen(rows: DataFrame) -> DataFrame:
-        close = F.arrays_zip(F.col("ids").alias("node"), nearness("of", "points").alias("close"))
-        rows = rows.select("query", "floor", F.explode(close).alias("z"))
-        return rows.where("z.close > floor").select("query", "z.node", "z.close", F.lit(0).alias("done"))
-
+    one = F.array(F.lit(1).cast("tinyint")).alias("known")
+    itself = asked.select(
+        F.col("query").alias("node"), F.col("of").alias("point"), F.array("query").alias("ids"),
+        F.array(F.lit(9.0).cast("float")).alias("close"), one,
+    )
     try:
-        own = asked.select("*", F.lit(-9.0).alias("floor")).join(blocks, F.col("query") == F.col("center"))
-        start = seen(own).union(seen(entry.select("*", F.lit(-9.0).alias("floor"))))
-        itself = asked.select("query", F.col("query").alias("node"), F.lit(9.0).cast("float").alias("close"), F.lit(1).alias("done"))
-        pool = written(_best(start.union(itself), config.beam))
+        own = seen(asked.join(blocks, F.col("query") == F.col("center")))
+        pool = written(merged(itself.union(_without_point(own)).union(_without_point(seen(entry))), config.beam))
+        undone = F.transform(F.filter(F.arrays_zip("ids", "known"), lambda z: z["known"] == 0), lambda z: z["ids"])
+        floor = F.when(F.size("ids") >= config.beam, F.element_at("close", -1)).otherwise(F.lit(-9.0)).alias("floor")
         while True:
-            turn = Window.partitionBy("query").orderBy("place")
-            undone = pool.where("done = 0").select("query", "node", F.row_number().over(turn).alias("turn"))
-            ahead = undone.where(F.col("turn") <= config.step)
-            if ahead.isEmpty():
-                return pool.select("query", "node")
-            floor = F.max(F.when(F.col("place") == config.beam, F.col("close")))
-            floors = pool.groupBy("query").agg(F.coalesce(floor, F.lit(-9.0)).alias("floor"))
-            visit = ahead.join(asked.join(floors, "query"), "query").select("query", "of", "floor", F.col("node").alias("center"))
-            found = seen(visit.join(blocks, "center"))
-            visited = ahead.select("query", "node", F.lit(-9.0).cast("float").alias("close"), F.lit(1).alias("done"))
-            pool = written(_best(pool.select("query", "node", "close", "done").union(visited).union(found), config.beam))
+            turn = pool.withColumn("ahead", F.slice(undone, 1, config.step))
+            if turn.where(F.size("ahead") > 0).isEmpty():
+                return pool.select(F.col("node").alias("query"), "ids", "close")
+            visits = turn.select(F.col("node").alias("query"), F.col("point").alias("of"), floor, F.explode("ahead").alias("center"))
+            visited = F.transform(
+                F.arrays_zip("ids", "known"),
+                lambda z: F.greatest(z["known"], F.array_contains("ahead", z["ids"]).cast("tinyint")),
+            )
+            marked = turn.select("node", "point", "ids", "close", visited.alias("known"))
+            found = seen(visits.join(blocks, "center"))
+            pool = written(merged(marked.union(_without_point(found)), config.beam))
     finally:
         blocks.unpersist()
 
@@ -282,6 +360,11 @@ def nearest(
     asking = written(asking)
     queries = asking.select("query").distinct()
     found = search_graph(points, neighbour_graph(points, width, n, config), queries, width, config)
+    # Nodes farther than the rounding of both points allows can't be among the nearest of those found.
+    unsure = 2 * (1.1 * 2.0**-10 + width * 2.0**-22)
+    last = F.coalesce(F.get("close", F.lit(top + 2)), F.lit(-9.0)).cast("double")
+    near = F.filter(F.arrays_zip("ids", "close"), lambda z: z["close"] >= F.col("last") - unsure)
+    found = found.withColumn("last", last).select("query", F.explode(near).alias("z")).select("query", F.col("z.ids").alias("node"))
     of = nodes.select(F.col("node").alias("query"), F.col("v").alias("of"))
     exact = found.join(nodes, "node").join(of, "query")
     exact = exact.select("query", inner_product(F.col("of"), F.col("v")).alias("score"), F.explode("ids").alias("vec_id"))
@@ -290,10 +373,12 @@ def nearest(
     by_node = Window.partitionBy("query").orderBy(*order)
     # One more than asked for: the query's own row is among them.
     some = exact.select("*", F.row_number().over(by_node).alias("place")).where(F.col("place") <= top + 1)
-    salts = 16
-    some = some.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    asking = asking.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    pairs = asking.join(some, ["query", "salt"]).where("id != vec_id")
+    # A vector that many queries share is dealt in parts of a bounded number of queries.
+    sharing = asking.groupBy("query").agg(F.ceil(F.count("*") / SHARING).alias("salts"))
+    salt = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")
+    some = some.join(sharing, "query").select("query", "vec_id", "score", salt)
+    asking = asking.join(sharing, "query").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")))
+    pairs = asking.select("id", "query", "salt").join(some, ["query", "salt"]).where("id != vec_id")
     by_id = Window.partitionBy("id").orderBy(*order)
     out = pairs.select(F.col("id").alias("query_id"), F.row_number().over(by_id).alias("rank"), "vec_id", "score")
     return out.where(F.col("rank") <= top)
