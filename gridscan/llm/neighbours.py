@@ -144,8 +144,11 @@ def _lists(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], keep: int
         yield cut(held)
 
 
-def merged(rows: DataFrame, keep: int) -> DataFrame:
-    """One row for each node, with its point and the nearest of its lists; one of a node's rows has the point."""
+def merged(rows: DataFrame, keep: int, step: int = 0) -> DataFrame:
+    """One row for each node, with its point and the nearest of its lists; one of a node's rows has the point.
+
+    ahead: the nearest ``step`` that were not known, which now are.
+    """
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -153,13 +156,19 @@ def merged(rows: DataFrame, keep: int) -> DataFrame:
             owner = np.repeat(np.arange(len(pdf)), sizes)
             columns = [np.concatenate([np.asarray(x, t) for x in pdf[c]]) for c, t in _TYPES]
             owner, *rest = _best_of(owner, *columns, keep)
+            new = rest[2] == 0
+            before = np.append(0, np.cumsum(new))
+            turn = before[1:] - before[np.searchsorted(owner, owner)]
+            ahead = new & (turn <= step)
+            rest[2] = rest[2] | ahead
             cuts = np.cumsum(np.bincount(owner, minlength=len(pdf)))[:-1]
-            ids, close, known = (np.split(z, cuts) for z in rest)
-            yield pd.DataFrame({"node": pdf["node"], "point": pdf["point"], "ids": ids, "close": close, "known": known})
+            lists = {c: np.split(z, cuts) for (c, _), z in zip(_TYPES, rest)}
+            lists["ahead"] = np.split(rest[0][ahead], np.cumsum(np.bincount(owner[ahead], minlength=len(pdf)))[:-1])
+            yield pd.DataFrame({"node": pdf["node"], "point": pdf["point"], **lists})
 
-    lists = [F.flatten(F.collect_list(c)).alias(c) for c, _ in _TYPES]
-    rows = rows.groupBy("node").agg(F.first("point", ignorenulls=True).alias("point"), *lists)
-    return rows.mapInPandas(merge, f"point binary, {LISTS}").select("node", "point", "ids", "close", "known")
+    parts = [F.flatten(F.collect_list(c)).alias(c) for c, _ in _TYPES]
+    rows = rows.groupBy("node").agg(F.first("point", ignorenulls=True).alias("point"), *parts)
+    return rows.mapInPandas(merge, f"point binary, {LISTS}, ahead array<long>")
 
 
 _TYPES = (("ids", np.int64), ("close", np.float32), ("known", np.int8))
@@ -316,21 +325,15 @@ def search_graph(points: DataFrame, graph: DataFrame, queries: DataFrame, width:
     )
     try:
         own = seen(asked.join(blocks, F.col("query") == F.col("center")))
-        pool = written(merged(itself.union(_without_point(own)).union(_without_point(seen(entry))), config.beam))
-        undone = F.transform(F.filter(F.arrays_zip("ids", "known"), lambda z: z["known"] == 0), lambda z: z["ids"])
+        start = itself.union(_without_point(own)).union(_without_point(seen(entry)))
+        pool = written(merged(start, config.beam, config.step))
         floor = F.when(F.size("ids") >= config.beam, F.element_at("close", -1)).otherwise(F.lit(-9.0)).alias("floor")
-        while True:
-            turn = pool.withColumn("ahead", F.slice(undone, 1, config.step))
-            if turn.where(F.size("ahead") > 0).isEmpty():
-                return pool.select(F.col("node").alias("query"), "ids", "close")
-            visits = turn.select(F.col("node").alias("query"), F.col("point").alias("of"), floor, F.explode("ahead").alias("center"))
-            visited = F.transform(
-                F.arrays_zip("ids", "known"),
-                lambda z: F.greatest(z["known"], F.array_contains("ahead", z["ids"]).cast("tinyint")),
-            )
-            marked = turn.select("node", "point", "ids", "close", visited.alias("known"))
-            found = seen(visits.join(blocks, "center"))
-            pool = written(merged(marked.union(_without_point(found)), config.beam))
+        while not pool.where(F.size("ahead") > 0).isEmpty():
+            visits = pool.select(F.col("node").alias("query"), F.col("point").alias("of"), floor, F.explode("ahead").alias("center"))
+            found = _without_point(seen(visits.join(blocks, "center")))
+            kept = pool.select("node", "point", "ids", "close", "known")
+            pool = written(merged(kept.union(found), config.beam, config.step))
+        return pool.select(F.col("node").alias("query"), "ids", "close")
     finally:
         blocks.unpersist()
 
