@@ -49,3 +49,18 @@ def test_points_are_not_shuffled_for_one_tree_after_the_join(spark, sf_dir):
     by_point = re.compile(r"hashpartitioning\([^)]*point_id")
     assert not by_point.search(plan_of(detect(D.events(spark, sf_dir), D.ONE).points))
     assert by_point.search(plan_of(detect(D.events(spark, sf_dir), D.FOUR).points))
+
+
+def test_rows_of_a_point_are_shuffled_once_to_be_compared(spark, sf_dir):
+    plan = plan_of(detect(D.events(spark, sf_dir), D.FOUR).points)
+    by_point = [line for line in plan.splitlines() if re.search(r"Exchange hashpartitioning\([^)]*point_id", line)]
+    assert len(by_point) == 1
+    assert "REPARTITION_BY_COL" in by_point[0]
+    assert "lpad" not in plan[plan.index(by_point[0]) :]  # ids are only made for the tree that is chosen
+
+
+def test_written_points_are_read_in_place_of_their_source(spark, sf_dir, tmp_path):
+    source = D.events(spark, sf_dir)
+    found = detect(source, D.FOUR, str(tmp_path)).points
+    assert "events.parquet" not in plan_of(found)
+    assert sorted(found.collect()) == sorted(detect(source, D.FOUR).points.collect())
