@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -70,8 +71,19 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def release() -> None:
-    """Give back what a worker's Arrow buffers no longer use; workers live on between stages."""
+    """Give back what a worker's Arrow buffers and arrays no longer use; workers live on between stages."""
     pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's function that returns freed memory to the system, where there is one."""
+    try:
+        return getattr(ctypes.CDLL(None), "malloc_trim", None)
+    except (OSError, TypeError):
+        return None
 
 
 def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], counts: DataFrame, total: int) -> DataFrame:

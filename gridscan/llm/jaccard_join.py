@@ -110,6 +110,8 @@ def measured(documents: DataFrame, words: int) -> DataFrame:
             sets = [shingles(t, words, hashes) for t in texts]
             classes = pd.array([class_of(s) if len(s) else None for s in sets], dtype="Int64")
             yield pd.DataFrame({"n": [len(s) for s in sets], "class": classes})
+        hashes.clear()
+        release()
 
     rows = documents.select("doc_id", measure("text").alias("m"))
     return rows.select("doc_id", F.col("m.n").alias("n_shingles"), F.col("m.class").alias("class"))
@@ -150,14 +152,17 @@ def shared_tokens(documents: DataFrame, config: Similar, total: int) -> DataFram
                         release()
         if sets:
             yield flush()
+        sets.clear()
+        hashes.clear()
+        release()
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         tokens, owners, sizes = shared_keys([unpack(b) for b in pdf["block"]])
-        _, index, df = np.unique(tokens, return_inverse=True, return_counts=True)
-        df = df[index]
+        first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.empty(0, np.int64)
+        times = np.diff(np.append(first, len(tokens)))
+        df = np.repeat(times, times)
         keep = df > 1
-        release()
-        return pd.DataFrame(
+        out = pd.DataFrame(
             {
                 "class": owners[keep],
                 "n": sizes[keep],
@@ -165,6 +170,9 @@ def shared_tokens(documents: DataFrame, config: Similar, total: int) -> DataFram
                 "token": tokens[keep].view(np.int64),
             }
         )
+        del tokens, owners, sizes, first, times, df, keep
+        release()
+        return out
 
     blocks = documents.select("text").mapInPandas(split, "bucket int, block binary")
     rows = blocks.groupBy("bucket").applyInPandas(count, "class long, n long, df long, token long")
@@ -222,6 +230,7 @@ def signatures(shared: DataFrame, percent: int) -> DataFrame:
                         "n": np.repeat([n for _, _, n in columns], sizes),
                     }
                 )
+            release()
 
     rows = shared.select("class", "n", F.col("tokens.df").alias("df"), F.col("tokens.token").alias("token"))
     return rows.mapInPandas(sign, "sig long, class long, n long")
@@ -326,6 +335,7 @@ def links_in_groups(members: DataFrame, shared: DataFrame, percent: int) -> Data
                 found += links_between(*sides, percent)
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
+            release()
 
     sets = chunks.select("id", "sets")
     other = chunks.select(F.col("id").alias("id_b"), F.col("sets").alias("sets_b"))

@@ -67,14 +67,19 @@ def slices(
 
 
 def shared_keys(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of unpacked blocks the tokens that occur twice or more: tokens, owners, sizes, a row per token and owner."""
+    """Of unpacked blocks the tokens that occur twice or more: tokens, owners, sizes, a row per token and owner, by token.
+
+    The list of parts is emptied.
+    """
     tokens, owners, sizes = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    parts.clear()  # not held beside the whole
     order = np.argsort(tokens, kind="stable")
     ordered = tokens[order]
     same = np.zeros(len(ordered), dtype=bool)
     same[1:] = ordered[1:] == ordered[:-1]
     same[:-1] |= same[1:]
     order = order[same]
+    del ordered, same
     tokens, owners, sizes = tokens[order], owners[order], sizes[order]
     order = np.lexsort((owners, tokens))
     tokens, owners, sizes = tokens[order], owners[order], sizes[order]

@@ -34,11 +34,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridscan.llm.common import with_fields
+from gridscan.llm.common import release, with_fields
 
 MARK = "▁"
 BYTE_PENALTY = 10.0
 REMEMBERED, LONGEST_REMEMBERED = 400_000, 40
+HELD = 50_000  # words that a worker may remember from one task to the next
 UNKNOWN_SCORE = -1e9  # pieces scored at or below it have no score of their own: they rank below all others
 
 
@@ -142,6 +143,12 @@ class PieceModel:
         known, word = self.memory.get, self._word
         return b"".join([known(w) or word(w) for w in self.words.findall(text)])
 
+    def rest(self) -> None:
+        """After a task: give back a large memory, which would take room from other stages' tasks."""
+        if len(self.memory) > HELD:
+            self.memory.clear()
+        release()
+
     def decode(self, ids) -> str:
         """The text of ids, without the space put in front."""
         plain = self.plain
@@ -163,6 +170,7 @@ def encode_texts(df: DataFrame, model: str, text: str = "text", out: str = "piec
         pieces = load_model(model)
         for texts in batches:
             yield pd.Series([None if t is None else pieces.encode(t) for t in texts], dtype=object)
+        pieces.rest()
 
     return with_fields(df, F.struct(encode(F.col(f"`{text}`")).alias(out)), [out])
 
@@ -175,5 +183,6 @@ def decode_pieces(df: DataFrame, model: str, pieces: str = "pieces", out: str =
         known = load_model(model)
         for rows in batches:
             yield pd.Series([None if r is None else known.decode(r) for r in rows], dtype=object)
+        known.rest()
 
     return with_fields(df, F.struct(decode(F.col(f"`{pieces}`")).alias(out)), [out])

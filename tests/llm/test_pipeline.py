@@ -1,12 +1,15 @@
 """The stages of the corpus pipeline against plain versions, and their defined cases."""
 
+import time
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from gridscan.llm import quality_model, secret_scan, source_mix
+from gridscan.llm import pieces, quality_model, secret_scan, source_mix
 from gridscan.llm.common import table
-from gridscan.llm.queries import MIX, domain_of
+from gridscan.llm.queries import MIX, PIECE_MODEL, domain_of
 from plain import similar_groups
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -111,3 +114,18 @@ def test_the_run_is_its_stages(spark, tables):
     again = P.run(spark, tables)
     assert again.columns == docs.columns
     assert rows_of(again) == rows_of(docs) != []
+
+
+def test_workers_do_not_keep_the_words_of_a_task(spark):
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: F.hex(F.xxhash64("id", i))))
+    texts = spark.range(0, 300, numPartitions=1).select(words.alias("text"))
+    pieces.encode_texts(texts, PIECE_MODEL).write.format("noop").mode("overwrite").save()
+
+    def kept(batches):
+        for _ in batches:
+            pass
+        time.sleep(0.5)  # so that every worker takes part
+        yield pd.DataFrame({"n": [len(pieces.load_model(PIECE_MODEL).memory)]})
+
+    held = spark.range(0, 32, numPartitions=32).mapInPandas(kept, "n long").collect()
+    assert max(r.n for r in held) <= pieces.HELD
