@@ -29,7 +29,7 @@ def awkward():
     return [(x, y) for x in xs for y in ys] + [(0.3, 12.7)] * 40 + [(9.0, 11.0), (float("nan"), 11.0), (0.0, -1.0)]
 
 
-@pytest.mark.parametrize("scorer, depth", [("path", 11), ("path", 2), ("box", 5)])
+@pytest.mark.parametrize("scorer, depth", [("path", 20), ("path", 2), ("box", 5)])
 def test_tiles_change_no_score(spark, monkeypatch, scorer, depth):
     params = Params(trees=4, grids=SHIFTS, domain=DOMAIN, max_depth=depth, neighborhood_size=3, scorer=scorer, alpha=2)
     monkeypatch.setattr(tiles, "TILE_ROWS", 10)  # the place with 40 points is split
@@ -45,7 +45,16 @@ def test_points_are_never_rows_per_tree_in_a_shuffle(spark, sf_dir, tmp_path):
         text = detect(D.events(spark, sf_dir), D.FOUR, str(tmp_path)).points._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    placed = [line for line in text.splitlines() if re.search(r"Exchange hashpartitioning\(tile#\d+, (cast|part)", line)]
+    placed = [line for line in text.splitlines() if re.search(r"Exchange hashpartitioning\(tile#\d+L, (cast|part)", line)]
     assert len(placed) == 1 + D.FOUR.trees  # the points, and the codes of each tree
     assert all("REPARTITION_BY_COL" in line for line in placed)
     assert text.count("Generate inline") == 1  # for the points outside the domain
+
+
+def test_a_tile_has_a_bounded_number_of_codes(spark):
+    for depth in (3, 8, 16, 20, 30):
+        params = Params(trees=2, grids=SHIFTS[:2], domain=DOMAIN, max_depth=depth)
+        df = spark.createDataFrame([(0, 0, None, 4.9, 13.9)], SCHEMA)
+        (row,) = tiles.add_tiles(df, params).collect()
+        last = max((1 << depth) >> 8, 1) - 1
+        assert 0.9 * last - 1 <= row.tile >> 32 <= last
